@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, pii, url_filter
+from . import bpe, license_scan, pii, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,6 +20,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False, add=add)
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public tokenizers' package keeps a file; it is installed on every node."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digests of the ids and the decoded text of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.encode_texts(docs, tokenizer_path(), add=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url")).drop("url")
@@ -32,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op4_pii, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op4_pii, op5_bpe, op8_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
