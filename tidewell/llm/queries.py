@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, license_scan, pii, url_filter
+from . import bpe, license_scan, pii, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -14,6 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def remainder(modulus: int, key: str = "doc_id") -> Column:
+    """crc32 of the key as text, mod modulus; null for a null key."""
+    return F.crc32(F.col(key).cast("string")) % modulus
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.CompressionModel:
+    """The classifier, learned from the labels outside the held-out fifth."""
+    return quality.fit_labelled(docs, labels.where(remainder(5) != 0))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality.score_texts(docs, model, keep_text=False)
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, the digest of the base spans, all spans."""
     add = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -48,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op4_pii, op5_bpe, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op4_pii, op5_bpe, op8_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
