@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, pii, quality, url_filter
+from . import bpe, license_scan, near_dedup, pii, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, over shingles of four words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=80)
+
+
 def remainder(modulus: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, mod modulus; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % modulus
@@ -67,9 +72,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op2_quality, op4_pii, op5_bpe, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_pii, op5_bpe, op8_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op8_url_filter": url_filter.oracle_sql(), "op10_license_scan": license_scan.oracle_sql()}
+    return {"op1_near_dedup": near_dedup.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op10_license_scan": license_scan.oracle_sql()}
