@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, near_dedup, pii, quality, url_filter
+from . import bpe, decontam, license_scan, near_dedup, pii, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url")).drop("url")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items they hold."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontam.find_leaks(docs, items)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
@@ -72,7 +78,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_pii, op5_bpe, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_pii, op5_bpe, op8_url_filter, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
