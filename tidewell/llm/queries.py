@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, license_scan, near_dedup, pii, quality, url_filter
+from . import bpe, decontam, license_scan, near_dedup, pii, quality, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors for every vector whose id 50 divides."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, the digest of the base spans, all spans."""
     add = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -78,9 +84,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_pii, op5_bpe, op8_url_filter, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_topk, op4_pii, op5_bpe, op8_url_filter, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_near_dedup": near_dedup.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op10_license_scan": license_scan.oracle_sql()}
+    return {"op1_near_dedup": near_dedup.oracle_sql(), "op3_topk": topk.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op10_license_scan": license_scan.oracle_sql()}
