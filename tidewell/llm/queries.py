@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, license_scan, lm, near_dedup, pii, quality, topk, url_filter
+from . import bpe, decontam, html_extract, license_scan, lm, near_dedup, pii, quality, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, tokenizer_path(), add=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"), keep_html=False)
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's and the unigram base's log10 probability of every document."""
     return lm.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -89,7 +94,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_topk, op4_pii, op5_bpe, op7_lm, op8_url_filter, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_topk, op4_pii, op5_bpe, op6_html, op7_lm, op8_url_filter, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
