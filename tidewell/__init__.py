@@ -1,0 +1 @@
+"""Clinical cohort analytics on Spark DataFrames."""
