@@ -4,8 +4,8 @@ Texts with equal shingle sets fall into one class, which one document stands
 for.  A class's sketch is the SKETCH smallest hashes of its set.  The first
 KEYS retained values, frequent ones last, are its keys; inverted lists of the
 keys bring candidates together.  In each list every member is held against one
-pivot, so a list of near copies costs its length; what a list then still has
-apart is held against each other.  Candidates are filtered by the similarity
+pivot, then what is still apart against another, so a list of near copies costs
+its length; once little is apart, all of that is held against each other.  Candidates are filtered by the similarity
 estimated from the union of the two sketches, and confirmed on the full
 shingle sets of both texts.
 
@@ -28,10 +28,15 @@ from .textcore import saved, shingle_sets, slices, words_of
 
 SKETCH = 64
 KEYS = 12
+#: Where one of them is frequent, so many values are keys: rare ones go first, and those are what near copies don't share.
+CROWDED_KEYS = 20
 #: A value in more sketches than this is frequent: other values go before it.
 FREQUENT = 64
 #: Estimates below this are no candidates; 0.8 lies about 6 standard deviations above.
 FLOOR = 0.5
+#: Lists are held against pivots, at most so often, until what is apart makes no more pairs than so many an entry.
+STAR_ROUNDS = 3
+PAIRS_PER_ENTRY = 1.0
 #: Up to so many values or ids (8 bytes each) are sent to every executor; beyond, a shuffle join does the work.
 BROADCAST_ROWS = 500_000
 
@@ -104,23 +109,27 @@ def _picked(frequent: np.ndarray):
             inside = np.arange(offsets[0], offsets[-1])
             order = np.lexsort((inside, late[inside], row))
             rank = np.arange(len(order)) - (offsets[:-1] - offsets[0])[row[order]]
-            chosen = order[rank < KEYS]
+            n_late = np.bincount(row, weights=late[inside], minlength=batch.num_rows).astype(np.int64)
+            crowded = np.bincount(row, weights=late[inside] & (inside - offsets[row] < KEYS), minlength=batch.num_rows) > 0
+            chosen = order[rank < np.where(crowded, CROWDED_KEYS, KEYS)[row[order]]]
             index = pa.array(row[chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(values[inside[chosen]]), batch.column("id").take(index), batch.column("n_shingles").take(index)], ["key", "id", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[inside[chosen]]), batch.column("id").take(index), batch.column("n_shingles").take(index), pa.array(n_late[row[chosen]])], ["key", "id", "n_shingles", "late"])
 
     return run
 
 
 def _key_lists(classes: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(key, id, n_shingles) for the keys of each class."""
+    """(key, id, n_shingles, late) for the keys of each class; late: how many values of its sketch are frequent."""
     values = classes.select("id", "n_shingles", F.posexplode("sketch").alias("place", "key"))
     frequent = saved(values.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT).select("key"))
     if frequent.count() <= broadcast_rows:
         late = np.sort(np.array([r["key"] for r in frequent.collect()], dtype=np.int64))
-        return classes.select("id", "n_shingles", "sketch").mapInArrow(_picked(late), "key long, id long, n_shingles long")
+        return classes.select("id", "n_shingles", "sketch").mapInArrow(_picked(late), "key long, id long, n_shingles long, late long")
     marked = values.join(frequent.withColumn("late", F.lit(1)), "key", "left")
-    best = marked.groupBy("id", "n_shingles").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "place", "key"))), 1, KEYS).alias("best"))
-    return best.select(F.explode("best.key").alias("key"), "id", "n_shingles")
+    late = F.coalesce("late", F.lit(0))
+    taken = F.when(F.max(F.when(F.col("place") < KEYS, late)) > 0, CROWDED_KEYS).otherwise(KEYS)
+    best = marked.groupBy("id", "n_shingles").agg(F.slice(F.array_sort(F.collect_list(F.struct(late.alias("late"), "place", "key"))), F.lit(1), taken).alias("best"), F.sum(late).alias("late"))
+    return best.select(F.explode("best.key").alias("key"), "id", "n_shingles", "late")
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -160,21 +169,31 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     classes = members.where("sketch is not null").select("id", "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"])
     # A repeated key may stand for several classes; pairs are confirmed text by text.
     lists = saved(_key_lists(classes, broadcast_rows))
-    pivots = saved(lists.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n_shingles", "id").alias("n_pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = saved(lists.join(pivots, "key"))
-    to_pivot = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n_shingles").alias("n_b"))
-    links = _confirm(_alike(to_pivot, percent), classes, rows, size, percent, broadcast_rows)
+    shared = saved(lists.join(saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")), "key"))
     versions = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = saved(components(links))
-
-    rest = shared.where("n > 2 and id <> pivot").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    split = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = saved(rest.join(saved(split), "key"))
-    left = apart.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("of_a"))
-    right = apart.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("of_b"))
-    more = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    more_links = _confirm(more.select("a", "b"), classes, rows, size, percent, broadcast_rows)
-    every = components(links.unionByName(more_links).unionByName(_versions(versions, live)))
+    links = _versions(versions, live)
+    confirm = lambda pairs: _confirm(pairs.select("a", "b"), classes, rows, size, percent, broadcast_rows)
+    shared_n = shared.count()
+    open_ = shared.withColumn("component", F.col("id"))
+    for turn in range(STAR_ROUNDS):
+        # Each list's members meet one pivot: one of most frequent values, so nearest to what a group of near copies shares.
+        order = F.xxhash64("id", F.lit(turn))
+        pivot = saved(open_.groupBy("key").agg(F.min(F.struct((-F.col("late")).alias("l"), order.alias("o"), "id", "n_shingles", "component")).alias("p")).select("key", "p.id", "p.n_shingles", "p.component").toDF("key", "a", "n_a", "of_a"))
+        pairs = _alike(open_.withColumnsRenamed({"id": "b", "n_shingles": "n_b"}).join(pivot, "key").where("a <> b and component <> of_a"), percent)
+        links = links.unionByName(confirm(pairs))
+        found = saved(components(links))
+        rest = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n_shingles", "late", F.coalesce("component", "id").alias("component"))
+        parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        apart = saved(parts.groupBy("key").agg(F.sum("n").alias("n"), (F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))).alias("pairs")).where("pairs > 0"))
+        left = apart.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+        open_ = saved(rest.join(apart.select("key"), "key"))
+        if (left["pairs"] or 0) <= PAIRS_PER_ENTRY * shared_n:
+            break
+    open_ = open_.drop("late")
+    one = open_.withColumnsRenamed({"id": "a", "n_shingles": "n_a", "component": "of_a"})
+    other = open_.withColumnsRenamed({"key": "key_b", "id": "b", "n_shingles": "n_b", "component": "of_b"})
+    more = _alike(one.join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))), percent)
+    every = components(links.unionByName(confirm(more)))
     placed = members.select("id", "n_shingles", "rep").join(every.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sketches.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = placed.unionByName(alone)

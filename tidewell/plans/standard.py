@@ -102,8 +102,8 @@ def _periods() -> list[Analysis]:
         return Analysis(id_, "dist", lambda cdm: distribution(first_period(cdm).select(*[c().alias(n) for n, (c, _) in strata.items()], value().alias("v")), "v", *strata), distribution_sql(f"SELECT {''.join(f'{s} AS {n}, ' for n, (_, s) in strata.items())}{value_sql} AS v FROM {_FIRST}", "v", *strata))
 
     def observed(cdm: Cdm) -> DataFrame:
-        year = F.explode(F.sequence(F.year("observation_period_start_date"), F.year("observation_period_end_date")))
-        return cdm.observation_period.select("person_id", year.cast("long").alias("stratum_1")).groupBy("stratum_1").agg(F.countDistinct("person_id").alias("count_value"))
+        year = F.explode(F.sequence(F.year("observation_period_start_date").cast("long"), F.year("observation_period_end_date").cast("long")))
+        return cdm.observation_period.select("person_id", year.alias("stratum_1")).groupBy("stratum_1").agg(F.countDistinct("person_id").alias("count_value"))
 
     return [
         counts(101, stratum_1=(band, band_sql)),

@@ -201,10 +201,12 @@ def _load(id_: str, table: str, concepts: dict[str, str]) -> Template:
         out = cdm.table(table)
         for column, name in concepts.items():
             out = named(out, cdm, column, name, "left")
-        return out
+        return out.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c) for c, t in out.dtypes])
 
     joins = " ".join(f"LEFT JOIN concept c{k} ON c{k}.concept_id = t.{column}" for k, column in enumerate(concepts))
-    return Template(id_, "BLOCKED" if table == "person" else "SAFE_ASSIGN", build, f"SELECT t.*, {', '.join(f'c{k}.concept_name AS {n}' for k, n in enumerate(concepts.values()))} FROM {table} t {joins}")
+    dates = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in {"death": ["death_date"]}.get(table) or [d for k in DOMAINS.values() if k.table == table for d in (k.start, k.end) if d])
+    star = f"t.* REPLACE ({dates})" if dates else "t.*"
+    return Template(id_, "BLOCKED" if table == "person" else "SAFE_ASSIGN", build, f"SELECT {star}, {', '.join(f'c{k}.concept_name AS {n}' for k, n in enumerate(concepts.values()))} FROM {table} t {joins}")
 
 
 def _union(id_: str, key: str, by_year: bool) -> Template:
