@@ -29,7 +29,9 @@ from .textcore import slices
 
 LONG_WORD = 64
 LONG_TEXT = 1 << 16
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 150_000
+#: Bytes of text whose results a worker holds at once.
+SLICE_BYTES = 2 << 20
 #: A cut text's word boundaries are certain this many characters before the cut (the longest contraction has 3).
 MARGIN = 4
 SUFFIX = "</w>"
@@ -304,7 +306,7 @@ def _sha(text: str) -> str:
 
 
 def _row(n: int, ids: str, decoded: str, add) -> dict:
-    make = {"n_tokens": lambda: n, "ids_sha256": lambda: _sha(ids), "decoded_sha256": lambda: _sha(decoded), "ids": lambda: [int(x) for x in ids.split()], "decoded": lambda: decoded}
+    make = {"n_tokens": lambda: n, "ids_sha256": lambda: _sha(ids), "decoded_sha256": lambda: _sha(decoded), "ids": lambda: np.array(ids.split(), dtype=np.int32), "decoded": lambda: decoded}
     return {k: make[k]() for k in add}
 
 
@@ -324,7 +326,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", add: tuple[str, .
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "__bpe_text", 16 << 20):
+            for batch in slices(whole, "__bpe_text", SLICE_BYTES):
                 rows = [_row(*bpe.digest_parts(t.as_py()), add) for t in batch.column("__bpe_text")]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array([r[k] for r in rows], type=_ARROW[_ADDED[k]]) for k in add], [*names, *add])
 
@@ -340,7 +342,7 @@ def _encode_long(wide: DataFrame, path: str, names: list[str], add, schema: str,
 
     def to_pieces(batches):
         for whole in batches:
-            for batch in slices(whole, "__bpe_text", 16 << 20):
+            for batch in slices(whole, "__bpe_text", SLICE_BYTES):
                 parts = [cut(t.as_py(), size) for t in batch.column("__bpe_text")]
                 index = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
                 arrays = [batch.column(c).take(index) for c in [*names, "__row"]]
@@ -349,7 +351,7 @@ def _encode_long(wide: DataFrame, path: str, names: list[str], add, schema: str,
     def encode(batches):
         bpe = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "piece", 16 << 20):
+            for batch in slices(whole, "piece", SLICE_BYTES):
                 found = [None if SPECIAL.search(t.as_py()) else bpe.piece(t.as_py()) for t in batch.column("piece")]
                 text = [t.as_py() if p is None else p.text for t, p in zip(batch.column("piece"), found)]
                 packed = [None if p is None else np.concatenate([[len(p.start)], p.start, p.end, p.count, p.ids]).astype(np.int32).tobytes() for p in found]

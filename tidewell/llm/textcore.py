@@ -154,6 +154,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, min(stop, n) - at)
         at = stop
+    pa.default_memory_pool().release_unused()  # workers live on through other stages
 
 
 def shared_folder(spark: SparkSession) -> str:
