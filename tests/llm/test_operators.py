@@ -346,13 +346,21 @@ def test_lm_awkward(spark):
 # 8. URL filters.
 
 
+def glob_fits(glob, text):
+    """By the places in text that each prefix of glob reaches; a backtracking pattern takes exponential time on many stars."""
+    reached = {0}
+    for c in glob:
+        reached = set(range(min(reached), len(text) + 1)) if c == "*" and reached else {i + 1 for i in reached if text[i : i + 1] == c}
+    return len(text) in reached
+
+
 def test_glob_automaton():
     rng = random.Random(2)
     globs = ["*", "", "a*b", "*ab*ba*", "**a", "ab", "a*" * 40 + "b", *("".join(rng.choice("ab*") for _ in range(rng.randint(1, 9))) for _ in range(40))]
     texts = ["", "a", "ab", "é*", *("".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(200))]
     found = url_filter.GlobAutomaton(globs).matches(pa.array([*texts, None]))
     for k, t in enumerate([*texts, ""]):
-        assert found[k].tolist() == [re.fullmatch(".*".join(map(re.escape, g.split("*"))), t, re.S) is not None for g in globs]
+        assert found[k].tolist() == [glob_fits(g, t) for g in globs]
 
 
 def test_url_rules(spark):
