@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -447,6 +448,27 @@ def test_license_rules(spark):
     assert len(rows) == 9 and {r["licenses"] for r in rows} == {""} and license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_sentences_end_to_end(spark):
+    names = license_scan.licence_names()
+    granted = [(grant.format(name) + end, f"grant-{x}") for x in names for name in names[x] for grant in license_scan.GRANTS for end in ("", ' (the "License");')]
+    wanted = [*granted, *((text, key) for key, text in license_scan.TEXT_SENTENCES.items())]
+    assert len(wanted) > 2500
+    forms = (lambda t: t, lambda t: "Prose. " + t + " Prose", lambda t: "Prose\r\n" + textwrap.fill(t, 72).replace("\n", "\r\n") + "\r\nprose", lambda t: "/*\n" + textwrap.fill(t, 72, initial_indent=" * ", subsequent_indent=" * ") + "\n */", lambda t: textwrap.fill(t, 20, initial_indent="# ", subsequent_indent="# "))
+    rows = [(k, form(text), key) for k, (text, key) in enumerate(wanted) for form in forms if form is not forms[1] or text[-1] in ".;:"]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, wanted string")).where("sentence_ids <> wanted or n_sentences <> 1").collect()
+    assert not got, got[:5]
+
+
+def test_license_headers(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n' + textwrap.fill(license_scan.TEXT_SENTENCES["apache-as-is"], 72)
+    gpl, gpl2 = (textwrap.fill(license_scan.TEXT_SENTENCES[k], 72) + "\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of" for k in ("gpl-free", "gpl2-free"))
+    texts = [apache, gpl, gpl2, textwrap.fill(license_scan.TEXT_SENTENCES["mpl-terms"], 40), "// SPDX-License-Identifier: MIT\nint x;", "Name: x\nLicense: BSD-3-Clause\nVersion: 1", "Licensed under the\n\nMIT License", "licence: " + ". " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan_licenses(df).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in rows] == ["Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0", "MIT", "BSD-3-Clause", "", ""]
+    assert rows[0]["sentence_ids"] == "grant-Apache-2.0,apache-compliance,apache-copy,apache-as-is"
+
+
 def test_license_scan_is_native(spark):
     plan = license_scan.scan_licenses(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

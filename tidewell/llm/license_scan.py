@@ -1,7 +1,8 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-Every sentence of a text is normalised and looked up in a table of known
-licence sentences; the identifiers found, in text order, are matched against
+Known licence sentences are looked for between breaks of the normalised text
+(line ends, and stops before a blank), and may have breaks inside, as where
+lines are wrapped; the identifiers found, in text order, are matched against
 ordered rules.  A rule is a run of identifiers; the first rule whose run occurs
 takes those identifiers out of the sequence, so longer, more specific rules
 stand before the ones they contain.
@@ -123,6 +124,28 @@ def sentence_table() -> dict[str, str]:
     return table
 
 
+def known_sentences() -> dict[str, str]:
+    """The sentence table, and grants by a name that is then called "the License"."""
+    table = sentence_table()
+    return {f"{k} the license": v for k, v in table.items() if v.startswith("grant-")} | table
+
+
+def sentence_pattern() -> str:
+    """A pattern of all known sentences, the longest first, one blank or line end between words."""
+    tree: dict = {}
+    for sentence in known_sentences():
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def below(node: dict) -> str:
+        ways = [word + (rest if len(more) == 1 and "" in more else f"[ \\n]{rest}" if "" not in more else f"(?:[ \\n]{rest})?") for word, more in node.items() if word for rest in [below(more)]]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+    return rf"(?<=\n){below(tree)}(?=\n)"
+
+
 def rule_list() -> list[tuple[tuple[str, ...], str]]:
     """All rules in order: runs of licence text, then grants by name, then reserved rights."""
     return [*TEXT_RULES, *(((f"grant-{x}",), x) for x in licence_names()), *LAST_RULES]
@@ -132,8 +155,12 @@ def _quoted(word: str) -> str:
     return "'" + word.replace("'", "''") + "'"
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+def _lines(text: Column) -> Column:
+    """Words with one blank between them, one line end for a break, and two or more between paragraphs."""
+    out = F.concat(F.lit("\n"), F.translate(text, _UPPER + "\r", _LOWER + " "), F.lit("\n"))
+    for pattern, new in ((_BREAK, "$1\r"), (r"[^\p{L}\p{N}\n\r]+", " "), (r" ?\r[ \r]*", "\r"), (r"[ \r]?\n[ \r]?", "\n")):
+        out = F.regexp_replace(out, pattern, new)
+    return F.translate(out, "\r", "\n")
 
 
 def _has_cue(text: Column) -> Column:
@@ -155,12 +182,12 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """
     names = ("n_sentences", "sentence_ids", "licenses")
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    known = F.expr(f"map({', '.join(f'{_quoted(k)}, {_quoted(v)}' for k, v in sentence_table().items())})")
+    known = F.expr(f"map({', '.join(f'{_quoted(k)}, {_quoted(v)}' for k, v in known_sentences().items())})")
     out = df.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    # Documents without a cue, nearly all, stop at a plain substring search; lower() maps A-Z as _lower does.
+    # Documents without a cue, nearly all, stop at a plain substring search; lower() maps A-Z as _lines does.
     out = out.withColumn("_easy", F.lower("_text")).withColumn("_cue", _has_cue(F.col("_easy"))).drop("_easy")
-    sentences = F.filter(F.split(F.regexp_replace(_lower(F.col("_text")), _BREAK, "$1\n"), "\n"), _has_cue)
-    ids = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, _GAP, " ")))), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(_lines(F.col("_text")), F.lit(sentence_pattern()), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
     out = out.withColumn("_ids", F.when(F.col("_cue"), ids).otherwise(F.array().cast("array<string>"))).drop("_text", "_cue")
     out = out.withColumn("_run", F.when(F.size("_ids") > 0, F.concat(F.lit(" "), F.array_join("_ids", "  "), F.lit(" "))).otherwise(""))
     rules = F.expr("array(" + ", ".join(f"named_struct('run', {_quoted(''.join(f' {i} ' for i in run))}, 'name', {_quoted(name)})" for run, name in rule_list()) + ")")
@@ -174,7 +201,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def oracle_sql(table: str = "documents", key: str = "doc_id") -> str:
-    """The same scan as DuckDB SQL."""
+    """The same scan as DuckDB SQL, for known sentences without a break inside and without (the "License")."""
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sentence_table().items())
     rules = ", ".join(f"({n}, {_quoted(''.join(f' {i} ' for i in run))}, {_quoted(name)})" for n, (run, name) in enumerate(rule_list(), 1))
     return f"""
