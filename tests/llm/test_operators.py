@@ -196,6 +196,22 @@ def test_pii_rows(spark):
     assert pii.scan_pii(awkward(spark).limit(0)).count() == 0
 
 
+def test_pii_cues_in_any_case():
+    secret = "Ab1_" * 50
+    for cue in pii.CUES:
+        for word in (cue, cue.upper(), cue.capitalize()):
+            for after in (" = ", ": '", " ID=", "_Number: "):
+                for before in ("", "İK \U0001f600 "):
+                    t = f"{before}{word}{after}{secret} end"
+                    at = t.index(secret)
+                    assert pii.joined(pii.find_spans(t)) == f"account:{at}:{at + len(secret)}", t
+    for scheme in pii.SCHEMES:
+        t = f"see {scheme.upper()}Joe@example.com/x now"
+        assert pii.Span(4, len(t) - 4, "address") in pii.find_spans(t)
+    assert not pii.find_spans("TO\u212aEN = abc123def456") and not pii.find_spans("token = abc12")
+    assert pii.redact("API_KEY=abc123def456", pii.find_spans("API_KEY=abc123def456")) == "API_KEY=<ACCOUNT>"
+
+
 # 5. BPE.
 
 

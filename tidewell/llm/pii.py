@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over each whole text finds the anchors: at-signs, plus
+One Aho-Corasick pass over each whole text, A-Z lower-cased, finds the anchors: at-signs, plus
 signs, digits, schemes and identifier cues.  From each anchor a deterministic
 local parser expands to the boundaries of an e-mail address, an IPv4 address, a
 card or phone number, a web address that names its user, or an account
@@ -22,7 +22,7 @@ from .textcore import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "account")
-# The cues.  An account cue must be followed by a separator and an identifier.
+# The cues, found in A-Z too.  An account cue must be followed by a separator and an identifier of 8 characters or more.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("token", "api_key", "apikey", "secret", "password", "passwd", "iban", "account", "ssn", "passport")
 
@@ -33,8 +33,9 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _USER_URL = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s<>\"']*")
-_ACCOUNT = re.compile(r"(?:[ _-]?(?:id|no|number|key))?[ ]{0,3}[:=#][ ]{0,3}[\"']?([A-Za-z0-9_-]{8,64})(?![A-Za-z0-9_-])")
+_ACCOUNT = re.compile(r"(?:[ _-]?(?ai:id|no|number|key))?[ ]{0,3}[:=#][ ]{0,3}[\"']?([A-Za-z0-9_-]{8,}+)")
 _DIGITS = re.compile(r"[0-9]+")
+_UPPER = re.compile(r"[A-Z]+")
 
 
 class Span(NamedTuple):
@@ -81,7 +82,7 @@ def find_spans(text: str | None) -> list[Span]:
     spans: list[Span] = []
     free = dict.fromkeys(KINDS, 0)  # where the next match of a kind may start
     run_end = 0  # end of the run of digits that has been seen
-    for last, (kind, size) in _ANCHORS.iter(text):
+    for last, (kind, size) in _ANCHORS.iter(_UPPER.sub(lambda m: m[0].lower(), text)):
         at = last + 1 - size
         if kind == "digit":
             if at < run_end:
