@@ -92,6 +92,30 @@ def test_near_duplicates_match_brute_force(spark, broadcast_rows, monkeypatch):
     assert got == brute_components(docs, 4, 80)
 
 
+def test_near_duplicates_at_the_limit_in_a_large_group(spark):
+    """Texts that hold a group's base and add 25%, with many of their own values among the smallest."""
+    rng, base = random.Random(8), [f"b{k}" for k in range(403)]
+    docs = [(0, " ".join(base)), *((k, " ".join([*base, *(f"v{k}x{j}" for j in range(10))])) for k in range(1, 101))]
+    (start,) = shingle_sets(words_of(pa.array([docs[0][1]])), 4)
+    while len(docs) < 107:
+        text = " ".join([*base, *(f"o{rng.randrange(10**9)}" for _ in range(100))])
+        (found,) = shingle_sets(words_of(pa.array([text])), 4)
+        if len(found) == 500 and len(np.setdiff1d(found[:64], start)) >= 20:
+            docs.append((len(docs), text))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs, 4, 80) and {c for _, c in got.values()} == {0}
+
+
+def test_near_duplicate_keys_needed():
+    for percent in (50, 80, 100):
+        needed = near_dedup.keys_needed(percent)
+        # Sets within their sketches: at most so many are in one alone.
+        assert all(needed[n] == n + 1 - -(-percent * n // 100) for n in range(1, percent * near_dedup.SKETCH // 100 + 1))
+        k = needed[-1]
+        tail = sum(math.comb(64, x) * (percent / 100) ** x * (1 - percent / 100) ** (64 - x) for x in range(0, 64 - k + 1))
+        assert tail <= near_dedup.MISS and max(needed) == k
+
+
 def test_near_duplicates_awkward(spark):
     rows = near_dedup.near_duplicates(awkward(spark, "component_id kept")).collect()
     assert len(rows) == 9

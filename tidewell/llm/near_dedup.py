@@ -1,21 +1,27 @@
 """Near duplicates from bottom-k sketches of one hash function.
 
 Texts with equal shingle sets fall into one class, which one document stands
-for.  A class's sketch is the SKETCH smallest hashes of its set.  The first
-KEYS retained values, frequent ones last, are its keys; inverted lists of the
-keys bring candidates together.  In each list every member is held against one
+for.  A class's sketch is the SKETCH smallest hashes of its set.  Its retained
+values are ordered by the number of sketches that hold them, rarest first, and
+the first keys_needed() of them are its keys, those that it alone holds counted
+but left out; inverted lists of the keys bring candidates together.  In each list every member is held against one
 pivot, then what is still apart against another, so a list of near copies costs
 its length; once little is apart, all of that is held against each other.  Candidates are filtered by the similarity
 estimated from the union of the two sketches, and confirmed on the full
 shingle sets of both texts.
 
-Two sets of similarity 0.8 or more share no key with probability below
-0.2 ** KEYS (4e-9), and fall under the estimate's floor with about as little.
+The order is one for all sketches, so the values before the first one that two
+sketches share are in one of them only.  Two sets of the wanted similarity have
+more such values than keys, on either side, with probability below 2 * MISS
+(4e-9; never where both fit their sketches), whatever else is in the table.  At
+0.8 they fall under the estimate's floor with probability below 2e-8.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from typing import Iterator
 
 import numpy as np
@@ -27,10 +33,9 @@ from .components import components
 from .textcore import saved, shingle_sets, slices, words_of
 
 SKETCH = 64
-KEYS = 12
-#: Where one of them is frequent, so many values are keys: rare ones go first, and those are what near copies don't share.
-CROWDED_KEYS = 20
-#: A value in more sketches than this is frequent: other values go before it.
+#: Probability allowed for each side of a pair that its keys end before the first shared value.
+MISS = 2e-9
+#: A value in more sketches than this is frequent: pivots hold many of them.
 FREQUENT = 64
 #: Estimates below this are no candidates; 0.8 lies about 6 standard deviations above.
 FLOOR = 0.5
@@ -93,43 +98,46 @@ def _verified(size: int, percent: int):
     return run
 
 
-def _picked(frequent: np.ndarray):
-    """The keys of each sketch: the first KEYS values, those in frequent (sorted) last."""
+def _shared_at_least(union: int, percent: int) -> int:
+    """How many of the SKETCH smallest values of a union of this size both of two similar sets hold, but for MISS."""
+    both, drawn = -(-percent * union // 100), min(SKETCH, union)
+    ways, miss = math.comb(union, drawn), 0.0
+    for x in range(max(0, drawn - union + both), drawn + 1):
+        miss += math.comb(both, x) * math.comb(union - both, drawn - x) / ways
+        if miss > MISS:
+            return x
+    return drawn
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("sketch")
-            values, offsets = np.asarray(column.values), np.asarray(column.offsets)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-                late = frequent[at] == values
-            else:
-                late = np.zeros(len(values), bool)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            inside = np.arange(offsets[0], offsets[-1])
-            order = np.lexsort((inside, late[inside], row))
-            rank = np.arange(len(order)) - (offsets[:-1] - offsets[0])[row[order]]
-            n_late = np.bincount(row, weights=late[inside], minlength=batch.num_rows).astype(np.int64)
-            crowded = np.bincount(row, weights=late[inside] & (inside - offsets[row] < KEYS), minlength=batch.num_rows) > 0
-            chosen = order[rank < np.where(crowded, CROWDED_KEYS, KEYS)[row[order]]]
-            index = pa.array(row[chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(values[inside[chosen]]), batch.column("id").take(index), batch.column("n_shingles").take(index), pa.array(n_late[row[chosen]])], ["key", "id", "n_shingles", "late"])
 
-    return run
+@functools.lru_cache
+def keys_needed(percent: int) -> tuple[int, ...]:
+    """By set size, the last for that and all larger ones: so many values hold one that a similar set's sketch shares.
+
+    The values both hold of the union's smallest are in both sketches, and so
+    many less of a sketch can be in it alone.  The union has from the set's own
+    size to 100 / percent times that; draws from one of any size are bounded by
+    draws with replacement.
+    """
+    top = 16 * SKETCH
+    shared = [0, *(_shared_at_least(u, percent) for u in range(1, 100 * top // percent + 1))]
+    p, miss, endless = percent / 100, 0.0, 0
+    while (miss := miss + math.comb(SKETCH, endless) * p**endless * (1 - p) ** (SKETCH - endless)) <= MISS:
+        endless += 1
+    return (0, *(min(SKETCH, n) + 1 - min(shared[n : 100 * n // percent + 1]) for n in range(1, top)), SKETCH + 1 - endless)
 
 
-def _key_lists(classes: DataFrame, broadcast_rows: int) -> DataFrame:
+def _key_lists(classes: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """(key, id, n_shingles, late) for the keys of each class; late: how many values of its sketch are frequent."""
-    values = classes.select("id", "n_shingles", F.posexplode("sketch").alias("place", "key"))
-    frequent = saved(values.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT).select("key"))
-    if frequent.count() <= broadcast_rows:
-        late = np.sort(np.array([r["key"] for r in frequent.collect()], dtype=np.int64))
-        return classes.select("id", "n_shingles", "sketch").mapInArrow(_picked(late), "key long, id long, n_shingles long, late long")
-    marked = values.join(frequent.withColumn("late", F.lit(1)), "key", "left")
-    late = F.coalesce("late", F.lit(0))
-    taken = F.when(F.max(F.when(F.col("place") < KEYS, late)) > 0, CROWDED_KEYS).otherwise(KEYS)
-    best = marked.groupBy("id", "n_shingles").agg(F.slice(F.array_sort(F.collect_list(F.struct(late.alias("late"), "place", "key"))), F.lit(1), taken).alias("best"), F.sum(late).alias("late"))
-    return best.select(F.explode("best.key").alias("key"), "id", "n_shingles", "late")
+    values = classes.select("id", "n_shingles", F.xxhash64("sketch").alias("version"), F.size("sketch").alias("held"), F.explode("sketch").alias("key"))
+    common = saved(values.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if common.count() <= broadcast_rows:
+        common = F.broadcast(common)
+    needed = keys_needed(percent)
+    first = F.element_at(F.array(*map(F.lit, needed)), (F.least("n_shingles", F.lit(len(needed) - 1)) + 1).cast("int"))
+    mine = values.join(common, "key").groupBy("id", "n_shingles", "version", "held").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("best"), F.sum(F.when(F.col("n") > FREQUENT, 1).otherwise(0)).alias("late"))
+    # Values of one sketch alone come first and give no candidate.
+    taken = F.slice("best", F.lit(1), F.greatest(first - F.col("held") + F.size("best"), F.lit(0)))
+    return mine.select(F.explode(taken["key"]).alias("key"), "id", "n_shingles", "late")
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +176,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     members = saved(member.select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")))
     classes = members.where("sketch is not null").select("id", "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"])
     # A repeated key may stand for several classes; pairs are confirmed text by text.
-    lists = saved(_key_lists(classes, broadcast_rows))
+    lists = saved(_key_lists(classes, percent, broadcast_rows))
     shared = saved(lists.join(saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")), "key"))
     versions = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = _versions(versions, live)
