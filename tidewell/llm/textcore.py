@@ -177,4 +177,14 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidewell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames that saved() returned; what was made from them must have been saved."""
+    for df in frames:
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
