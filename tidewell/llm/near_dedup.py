@@ -312,9 +312,9 @@ class _Table:
 
     def recentred(self, lists: DataFrame, pivot_first: Column) -> tuple[DataFrame, DataFrame]:
         """Links of the members of each list to its pivot (the member least by pivot_first), and all members' views."""
-        pivots = lists.groupBy("key").agg(F.min_by("id", F.struct(pivot_first.alias("p"), F.xxhash64("id").alias("h"), "id")).alias("hub"))
-        pairs = lists.select("key", F.col("id").alias("a")).join(pivots.withColumnRenamed("hub", "b"), "key").where("a <> b")
-        guessed = self.estimated(pairs)
+        # Saved, so that Spark can split a long list's join.
+        pivots = saved(lists.groupBy("key").agg(F.min_by("id", F.struct(pivot_first.alias("p"), F.xxhash64("id").alias("h"), "id")).alias("b")))
+        guessed = self.estimated(lists.select("key", F.col("id").alias("a")).join(_if_small(pivots, self.broadcast_rows), "key").where("a <> b"))
         likely = saved(guessed.where(F.col("alike") >= NEAR_FLOOR).select("a", "b"))
         stars = saved(self.with_texts(likely).mapInArrow(_centred(self.size, self.percent), f"{_VIEWS}, hub long, far boolean"))
         far = saved(stars.where("far").select("id").unionByName(guessed.where(F.col("alike") < NEAR_FLOOR).select(F.col("a").alias("id"))).distinct())
@@ -322,7 +322,7 @@ class _Table:
         keep = [c.split()[0] for c in _VIEWS.split(", ")]
         views = saved(stars.where(F.size("elements") > 0).select(*keep).unionByName(own.select(*keep)))
         links = saved(stars.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        discard(guessed, likely, stars, far)
+        discard(pivots, guessed, likely, stars, far)
         return links, views
 
 
