@@ -22,9 +22,11 @@ from .textcore import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "account")
-# The cues, found in A-Z too.  An account cue must be followed by a separator and an identifier of 8 characters or more.
+# The cues, found in A-Z too.  An account cue must be followed by a separator and an identifier.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("token", "api_key", "apikey", "secret", "password", "passwd", "iban", "account", "ssn", "passport")
+# Cues whose identifiers are written in groups, with a blank or hyphen between.
+GROUPED_CUES = frozenset({"iban", "account", "ssn", "passport"})
 
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _LOCAL = frozenset(_ALNUM + "._%+-")
@@ -33,7 +35,11 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _USER_URL = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s<>\"']*")
-_ACCOUNT = re.compile(r"(?:[ _-]?(?ai:id|no|number|key))?[ ]{0,3}[:=#][ ]{0,3}[\"']?([A-Za-z0-9_-]{8,}+)")
+_ASSIGNED = re.compile(r"(?:[ _-]?(?ai:id|no|number|key))?[ ]{0,3}[:=#][ ]{0,3}[\"']?")
+_PLAIN = re.compile(r"[A-Za-z0-9_-]{8,}+")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?")
+_DIGIT_GROUPS = re.compile(r"[0-9]{2,}(?:[ -][0-9]{2,})+(?![A-Za-z0-9])")
+_GROUP_END = re.compile(r"[A-Za-z0-9](?![A-Za-z0-9])")
 _DIGITS = re.compile(r"[0-9]+")
 _UPPER = re.compile(r"[A-Z]+")
 
@@ -57,10 +63,35 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(iban: str) -> bool:
+    """The check of international account numbers, of 15 to 34 characters."""
+    if not 15 <= len(iban) <= 34:
+        return False
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def account_end(text: str, at: int, cue: str) -> int | None:
+    """Where an identifier that begins at a place, after this cue, ends; None for no identifier.
+
+    After iban, the longest run of whole groups that passes mod-97; after the
+    grouped cues, groups of digits, 8 digits or more in all; else, and after
+    the other cues, one run of 8 characters or more with 2 digits or more.
+    """
+    if cue == "iban" and (m := _IBAN.match(text, at)):
+        for end in reversed([g.end() for g in _GROUP_END.finditer(text, at, min(m.end() + 1, len(text))) if g.end() <= m.end()]):
+            if mod97(text[at:end].replace(" ", "").replace("-", "")):
+                return end
+    if cue in GROUPED_CUES and (m := _DIGIT_GROUPS.match(text, at)) and sum(map(str.isdigit, m[0])) >= 8:
+        return m.end()
+    if (m := _PLAIN.match(text, at)) and sum(map(str.isdigit, m[0])) >= 2:
+        return m.end()
+    return None
+
+
 def _automaton():
     found = ahocorasick.Automaton()
     for word, kind in [("@", "at"), ("+", "plus"), *((str(d), "digit") for d in range(10)), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES)]:
-        found.add_word(word, (kind, len(word)))
+        found.add_word(word, (kind, word))
     found.make_automaton()
     return found
 
@@ -82,8 +113,8 @@ def find_spans(text: str | None) -> list[Span]:
     spans: list[Span] = []
     free = dict.fromkeys(KINDS, 0)  # where the next match of a kind may start
     run_end = 0  # end of the run of digits that has been seen
-    for last, (kind, size) in _ANCHORS.iter(_UPPER.sub(lambda m: m[0].lower(), text)):
-        at = last + 1 - size
+    for last, (kind, word) in _ANCHORS.iter(_UPPER.sub(lambda m: m[0].lower(), text)):
+        at = last + 1 - len(word)
         if kind == "digit":
             if at < run_end:
                 continue
@@ -114,9 +145,9 @@ def find_spans(text: str | None) -> list[Span]:
             if at >= free["address"] and (m := _USER_URL.match(text, last + 1)):
                 free["address"] = m.end()
                 spans.append(Span(at, m.end(), "address"))
-        elif at >= free["account"] and (m := _ACCOUNT.match(text, last + 1)) and sum(map(str.isdigit, m[1])) >= 2:
-            free["account"] = m.end(1)
-            spans.append(Span(m.start(1), m.end(1), "account"))
+        elif at >= free["account"] and (m := _ASSIGNED.match(text, last + 1)) and (end := account_end(text, m.end(), word)):
+            free["account"] = end
+            spans.append(Span(m.end(), end, "account"))
     rank = {k: n for n, k in enumerate(KINDS)}
     spans.sort(key=lambda s: (s.start, rank[s.kind]))
     return spans
@@ -154,7 +185,7 @@ def scan_pii(df: DataFrame, text: str = "text", keep_text: bool = True, add: tup
     one stays empty.  Rows are independent of each other and kept, repeated ones
     too; an empty table gives an empty one; texts of any length are read whole.
     """
-    names = [c for c in df.columns if c not in add and (keep_text or c != text)]
+    names = [c for c in df.columns if c.lower() not in add and (keep_text or c.lower() != text.lower())]
     wide = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__pii_text"))
     kinds = {"string": pa.string(), "long": pa.int64()}
 
