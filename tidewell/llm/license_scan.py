@@ -62,26 +62,44 @@ TEXT_SENTENCES = {
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "mpl-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense-text": "This is free and unencumbered software released into the public domain.",
 }
 # Rules over sentences of licence texts; earlier ones go first.
 TEXT_RULES = (
+    (("mit-grant", "mit-notice", "mit-as-is", "mit-liability"), "MIT"),
     (("mit-grant", "mit-notice", "mit-as-is"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
+    (("isc-grant", "isc-as-is"), "ISC"),
     (("isc-grant",), "ISC"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("gpl-free", "gpl-warranty"), "GPL-3.0-or-later"),
     (("gpl2-free", "gpl-warranty"), "GPL-2.0-or-later"),
+    (("agpl-free", "gpl-warranty"), "AGPL-3.0-or-later"),
+    (("lgpl-free", "lgpl-warranty"), "LGPL-2.1-or-later"),
+    (("lgpl3-free", "lgpl-warranty"), "LGPL-3.0-or-later"),
+    (("agpl-free",), "AGPL-3.0-or-later"),
+    (("lgpl-free",), "LGPL-2.1-or-later"),
+    (("lgpl3-free",), "LGPL-3.0-or-later"),
     (("gpl-free",), "GPL-3.0-or-later"),
     (("gpl2-free",), "GPL-2.0-or-later"),
     (("mpl-terms",), "MPL-2.0"),
@@ -92,7 +110,7 @@ TEXT_RULES = (
 LAST_RULES = ((("rights-reserved",), "all-rights-reserved"),)
 
 # Each known sentence holds one of these within a word, so texts and sentences without any need no look-up.
-CUES = ("licen", "reserved", "permission", "redistribut", "released", "distributed", "warranty", "endorse")
+CUES = ("licen", "reserved", "permission", "redistribut", "released", "distributed", "warrant", "endorse", "liable")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"([.!?;:])[ \t\x0B\f\r]+"
 _GAP = r"[^\p{L}\p{N}]+"
