@@ -205,18 +205,24 @@ def find_leaks(
     Items go to the executors in blocks of about block_chars characters, each
     block a pass over the documents, so that no more than that is broadcast.
     """
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = f"`{key}` long, `{item_key}` long, similarity double, first_word long, n_words long"
+    out = None
+    for index in _indexes(items, item_key, item_text, size, block_chars):
+        found = rows.mapInArrow(_scan(index, least, [key, item_key]), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _indexes(items: DataFrame, item_key: str, item_text: str, size: int, block_chars: int) -> Iterator[ItemIndex]:
+    """The items in blocks of about block_chars characters, one at least."""
     wanted = items.select(F.col(f"`{item_key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("t"))
     chars = wanted.agg(F.sum(F.char_length("t")).alias("n")).first()["n"] or 0
     blocks = -(-chars // block_chars) or 1
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = f"`{key}` long, `{item_key}` long, similarity double, first_word long, n_words long"
-    out = None
     for block in range(blocks):
         listed = wanted.where(F.col("block") == block).orderBy("id", "t").collect()
-        found = rows.mapInArrow(_scan(ItemIndex([r["id"] for r in listed], [r["t"] for r in listed], size), least, [key, item_key]), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield ItemIndex([r["id"] for r in listed], [r["t"] for r in listed], size)
 
 
 def _scan(index: ItemIndex, least: float, names: list[str]):
@@ -235,7 +241,26 @@ def _scan(index: ItemIndex, least: float, names: list[str]):
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item; rows with a null key stay."""
-    leaks = find_leaks(docs, items, key=key, **options).select(F.col(key).alias("_leak")).distinct()
-    return docs.join(leaks, docs[key] == F.col("_leak"), "left_anti")
+def _unleaked(index: ItemIndex, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "__leak_text", 2 << 20):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[m[0] for m in index.matches(batch.column("__leak_text"), least)]] = False
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = 5, least: float = 0.8, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that hold no item, as they are.
+
+    Each row is judged by its own text, whatever its key (null, or one that
+    other rows have too); null, empty and wordless texts hold nothing and stay;
+    texts of any length are read whole.  All blocks of items are met in one
+    pass over docs, without a shuffle.
+    """
+    out = docs.withColumn("__leak_text", F.col(f"`{text}`").cast("string"))
+    for index in _indexes(items, item_key, item_text, size, block_chars):
+        out = out.mapInArrow(_unleaked(index, least), out.schema)
+    return out.drop("__leak_text")
