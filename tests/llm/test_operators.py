@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, decontam, elias_fano, html_extract, license_scan, lm, near_dedup, pii, quality, topk, url_filter
+from tidewell.llm import bpe, decontam, elias_fano, html_extract, license_scan, lm, near_dedup, pii, quality, textcore, topk, url_filter
 from tidewell.llm.components import components
 from tidewell.llm.queries import tokenizer_path
 from tidewell.llm.textcore import shingle_sets, words_of
@@ -38,6 +38,38 @@ def awkward(spark, clash="score text"):
     return spark.createDataFrame(rows, "doc_id long, text string, n long").withColumns({c: F.lit(None).cast("string") for c in clash.split() if c != "text"})
 
 
+def test_clashing_names_whatever_their_case(spark):
+    docs = spark.createDataFrame([(1, "joe@example.com", "a", "b", 3)], "doc_id long, text string, Score string, SPANS string, N_Tokens long")
+    model = quality.CompressionModel(constant=0.25)
+    for out, made in (
+        (quality.score_texts(docs, model), {"score": 0.25}),
+        (pii.scan_pii(docs, add=("spans",)), {"spans": "email:0:15"}),
+        (bpe.encode_texts(docs, tokenizer_path(), add=("n_tokens",)), {"n_tokens": len(bpe.encoder(tokenizer_path()).encode("joe@example.com"))}),
+    ):
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        assert {k: out.first()[k] for k in made} == made
+    page = spark.createDataFrame([("<p>x</p>", "a", 9)], "html string, Text string, N_Chars long")
+    assert html_extract.extract_text(page).columns == ["html", "text", "n_chars"]
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    class Context:
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def master(self):
+            return "spark://host:7077"
+
+    import types
+
+    session = types.SimpleNamespace(sparkContext=types.SimpleNamespace(_jsc=types.SimpleNamespace(sc=Context)), conf={})
+    with pytest.raises(ValueError):
+        textcore.shared_folder(session)
+
+
 # Words and shingles.
 
 
@@ -83,9 +115,11 @@ def near_copies(rng, groups=6, copies=12):
     return docs
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_near_duplicates_match_brute_force(spark, broadcast_rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FREQUENT", 4)
+@pytest.mark.parametrize("broadcast_rows, levels", [(500_000, 1), (0, 3)])
+def test_near_duplicates_match_brute_force(spark, broadcast_rows, levels, monkeypatch):
+    """Lists of more than a few entries get pivots, those of their differences too."""
+    for name, value in (("FREQUENT", 4), ("SHORT", 3), ("CROWD", 3), ("LEVELS", levels)):
+        monkeypatch.setattr(near_dedup, name, value)
     docs = near_copies(random.Random(3))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, broadcast_rows=broadcast_rows).collect()}
@@ -106,6 +140,38 @@ def test_near_duplicates_at_the_limit_in_a_large_group(spark):
     assert got == brute_components(docs, 4, 80) and {c for _, c in got.values()} == {0}
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """One text, variants from close to just too far, extensions and cuts of it, and texts that share a passage: default constants."""
+    rng, base = random.Random(4), [f"b{k}" for k in range(160)]
+    passage, docs = [f"p{k}" for k in range(60)], [" ".join(base)]
+    for _ in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        cut = rng.randrange(40)
+        docs.append(" ".join(rng.choice([w, w, w + [f"e{rng.randrange(10**6)}" for _ in range(cut)], w[cut:], w[cut // 2 : len(w) - cut // 2]])))
+    for _ in range(120):
+        docs.append(" ".join([*passage, *(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(30)))]))
+    for text in rng.sample(docs, 60):  # one word changed in what may be far from all others
+        w = text.split()
+        w[rng.randrange(len(w))] = "changed"
+        docs.append(" ".join(w))
+    rng.shuffle(docs)
+    want = brute_components(list(enumerate(docs)), 4, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_near_duplicate_estimates():
+    rng = np.random.default_rng(5)
+    sketches = [np.sort(rng.choice(2**40, n, replace=False).astype(np.uint64) << np.uint64(24)) for n in (0, 1, 5, 64, 64)]
+    pairs = [(a, b) for a in sketches for b in sketches] + [(sketches[3], np.sort(np.concatenate([sketches[3][:40], sketches[4][:24]])))]
+    lists = [pa.array([p[k].view(np.int64) for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
+    for (a, b), got in zip(pairs, near_dedup.estimates(*lists)):
+        union = sorted(set(a.tolist()) | set(b.tolist()))[: near_dedup.SKETCH]
+        assert got == (sum(x in a and x in b for x in union) / len(union) if union else 0)
+
+
 def test_near_duplicate_keys_needed():
     for percent in (50, 80, 100):
         needed = near_dedup.keys_needed(percent)
@@ -143,6 +209,42 @@ def test_quality_held_out(spark):
     assert sum(r["predicted"] for r in good) >= 0.97 * len(good) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_of_the_difference_alone():
+    """Held-out accuracy whatever the order of the sample, and a score by hand."""
+    import pandas as pd
+    import zstandard
+
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    every = docs[["doc_id", "text"]].merge(labels[["doc_id", "quality"]], on="doc_id")
+    held = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in every["doc_id"]])
+    text = np.array([t.encode() for t in every["text"]], dtype=object)
+    y, y_test = every["quality"].to_numpy()[~held], every["quality"].to_numpy()[held]
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(len(y))
+        model = quality.fit([t for t in text[~held][order] if len(t) < 1 << 16], [q for q, t in zip(y[order], text[~held][order]) if len(t) < 1 << 16])
+        score = model.scores(text[held])
+        rank = pd.Series(score).rank().to_numpy()
+        good = y_test == 1
+        assert (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()) >= 0.99
+        assert ((score >= 0.3) == good).mean() >= 0.96 and (score[good] >= 0.3).mean() >= 0.985
+    assert (np.diff(model.heights) >= 0).all() and (np.diff(model.knots) >= 0).all()
+    t = b"some text to be measured by hand " * 40
+    sizes = [[len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(t[k : k + 256])) for k in range(0, len(t), 256)] for d in (model.bad, model.good)]
+    total = sum(min(a - b, 0.05 * len(t[256 * k : 256 * k + 256])) for k, (a, b) in enumerate(zip(*sizes)))
+    assert model.scores([t])[0] == np.interp((total + 64 * model.prior) / (len(t) + 64), model.knots, model.heights)
+
+
+def test_quality_monotone_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x, y = rng.integers(0, 30, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+        knots, heights = quality.monotone_fit(x, y, np.ones(60))
+        # Isotonic regression over the distinct x as the largest of smallest means.
+        values = np.unique(x)
+        means = [max(min(y[(x >= values[a]) & (x <= values[b])].mean() for b in range(k, len(values))) for a in range(k + 1)) for k in range(len(values))]
+        assert len(knots) == 2 * len(set(np.round(means, 9))) and (np.diff(heights) >= 0).all() and 0 < heights[0] and heights[-1] < 1
+
+
 def test_quality_awkward(spark):
     model = quality.fit([b"good prose about things " * k for k in range(1, 40)] + [b"$$$ ### " * k for k in range(1, 40)], [1] * 39 + [0] * 39)
     rows = quality.score_texts(awkward(spark, "score predicted"), model).collect()
@@ -236,6 +338,54 @@ def test_pii_cues_in_any_case():
     assert pii.redact("API_KEY=abc123def456", pii.find_spans("API_KEY=abc123def456")) == "API_KEY=<ACCOUNT>"
 
 
+def brute_added(text):
+    """Added spans by trying every place, cue and end."""
+    out, free, low = [], {"address": 0, "account": 0}, text.translate(LOWER)
+    for at in range(len(text)):
+        hits = [(len(w), k, w) for k, ws in (("address", pii.SCHEMES), ("account", pii.CUES)) for w in ws if low.startswith(w, at)]
+        for size, kind, word in sorted(hits):
+            if at < free[kind]:
+                continue
+            rest = text[at + size :]
+            if kind == "address":
+                m = re.match(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+(:[0-9]+)?[^\s<>\"']*", rest)
+                if m:
+                    free[kind] = at + size + m.end()
+                    out.append(pii.Span(at, free[kind], kind))
+                continue
+            m = re.match(r"([ _-]?([iI][dD]|[nN][oO]|[nN][uU][mM][bB][eE][rR]|[kK][eE][yY]))?[ ]{0,3}[:=#][ ]{0,3}[\"']?", rest)
+            if not m:
+                continue
+            body, ends = rest[m.end() :], []
+            if word == "iban":
+                for n in range(1, min(len(body), 50) + 1):
+                    flat = re.sub("[ -]", "", body[:n])
+                    grouped = re.fullmatch(r"[A-Za-z]{2}[0-9]{2}([ -]?[A-Za-z0-9]{4}){2,7}([ -]?[A-Za-z0-9]{1,3})?", body[:n])
+                    if grouped and not body[n : n + 1].isalnum() and 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1:
+                        ends = [n]
+            if not ends and word in ("iban", "account", "ssn", "passport"):
+                ends = [n for n in range(1, len(body) + 1) if re.fullmatch(r"[0-9]{2,}([ -][0-9]{2,})+", body[:n]) and not re.match("[A-Za-z0-9]", body[n:])][-1:]
+                ends = [n for n in ends if len(re.sub("[ -]", "", body[:n])) >= 8]
+            if not ends:
+                run = re.match(r"[A-Za-z0-9_-]*", body)[0]
+                ends = [len(run)] if len(run) >= 8 and sum(c.isdigit() for c in run) >= 2 else []
+            if ends:
+                free[kind] = at + size + m.end() + ends[0]
+                out.append(pii.Span(at + size + m.end(), free[kind], kind))
+    return sorted(out, key=lambda s: (s.start, pii.KINDS.index(s.kind)))
+
+
+def test_pii_added_spans_match_brute_force():
+    rng = random.Random(2)
+    parts = [*pii.CUES, *pii.SCHEMES, "IBAN", "Account No", ": ", "=", " = '", "#", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89370400440532013001", "123-45-6789", "1234 5678 90", "abc123def", "12", " ", "joe@example.com", "bob:pw", "@", "host.com:80/x", "x", "-", "\n", "9876543210123"]
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert [s for s in pii.find_spans(t) if s.kind not in pii.BASE_KINDS] == brute_added(t), t
+    t = "IBAN: DE89 3704 0044 0532 0130 00 and Account No: 1234 5678 9012."
+    assert pii.redact(t, [s for s in pii.find_spans(t) if s.kind == "account"]) == "IBAN: <ACCOUNT> and Account No: <ACCOUNT>."
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
+
+
 # 5. BPE.
 
 
@@ -468,7 +618,9 @@ def test_decontamination_radius():
 def test_decontamination_awkward(spark):
     items = spark.createDataFrame([(1, "some words of a text here"), (2, None), (3, "")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(awkward(spark, "similarity"), items).collect()] == [(None, 1)]
-    assert decontam.clean(awkward(spark), items).count() == 9  # a row with a null key stays
+    left = decontam.clean(awkward(spark, "similarity"), items)  # a row with a null key is judged by its text
+    assert left.columns == ["doc_id", "text", "n", "similarity"] and sorted(r["n"] for r in left.collect()) == [1, 2, 3, 5, 5, 6, 7, 8]
+    assert decontam.clean(awkward(spark), items.limit(0)).count() == 9 and decontam.clean(awkward(spark).limit(0), items).count() == 0
     assert decontam.find_leaks(awkward(spark).limit(0), items).count() == 0 == decontam.find_leaks(awkward(spark), items.limit(0)).count()
 
 

@@ -51,3 +51,12 @@ def test_awkward_rows(spark):
         docs = stage(spark, docs, SF)
     assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "2", "4", "None", "None"]
     assert p.STAGES[0][1](spark, spark.createDataFrame(rows[:0], "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(1)), SF).count() == 0
+
+
+def test_near_dedup_stage_keeps_versions(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "b"), (1, text, "en", "a"), (1, "another text under the same id", "en", "a"), (2, text + " x", "en", "a"), (3, "a third one that is like none of them", "fr", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    kept = p.near_dedup_stage(spark, docs, SF)
+    assert tuple(kept.columns) == p.COLUMNS
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in kept.collect()) == sorted((rows[k][0], rows[k][1], rows[k][3]) for k in (1, 2, 4))

@@ -393,7 +393,7 @@ def extract_text(df: DataFrame, html: str = "html", keep_html: bool = True, labe
     table gives an empty one; broken markup is read as far as it goes.
     """
     net = labeller or trained()
-    names = [c for c in df.columns if c not in ("text", "n_chars") and (keep_html or c != html)]
+    names = [c for c in df.columns if c.lower() not in ("text", "n_chars") and (keep_html or c.lower() != html.lower())]
     wide = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html}`").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

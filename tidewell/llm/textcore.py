@@ -9,6 +9,7 @@ string per word.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from typing import Iterator, NamedTuple
 
@@ -158,14 +159,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset and there is one machine, as in tests, a temporary one is set."""
+    context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
+        if context.getCheckpointDir().isDefined():
+            return context.getCheckpointDir().get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master()):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
