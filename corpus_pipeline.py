@@ -26,12 +26,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of smallest id.
 
-    Exact repetitions of a row leave one; rows with a null id stay.
+    Rows that share an id are versions of one document: of those with one text
+    the least by its other columns stays.  Rows with a null id stay.
     """
     found = near_dedup.near_duplicates(docs, size=5, percent=80)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    versions = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("rest"))
+    return once.unionByName(versions.select("doc_id", "text", "rest.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
