@@ -2,11 +2,16 @@
 
 Vectors are quantised to integers.  The index cuts them into blocks; in a
 block, each dimension has its postings in order of value, cut into segments of
-like impact.  For a query, segments are processed by descending quantised
-impact (weight times the segment's highest excess over the block's least
-contribution).  After each round the k-th best exact score so far is held
-against what every other vector can still reach; search stops only when that
-proves all but a few vectors out, and those few are rescored exactly.
+like impact.  A segment's impact for a query is the weight times its highest
+excess over the block's least contribution, quantised to QUANTA levels of the
+query's greatest.  Segments are processed level by level from the highest.
+After each level the k-th best exact score so far is held against what every
+other vector can still reach: its excess, and for as many dimensions as it has
+not been seen in, the largest impacts left.  Search stops only when that proves
+all but a few vectors out, and those few are rescored exactly.
+
+One block is searched first; its k-th best scores are floors for the others, of
+which those that cannot reach them are passed over before a posting is read.
 """
 
 from __future__ import annotations
@@ -20,10 +25,13 @@ from pyspark.sql import functions as F
 
 from .textcore import saved
 
+#: Segments of a dimension in a block, and levels of quantised impact.
 LEVELS = 8
+QUANTA = 8
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 QUERIES_AT_ONCE = 128
+LOWEST = -(1 << 62)
 
 
 class ImpactBlock:
@@ -31,6 +39,7 @@ class ImpactBlock:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, order: np.ndarray | None = None):
         self.ids, self.matrix = ids, matrix
+        self.levels_left: list[int] = []  # by query, when it was stopped
         n, dims = matrix.shape
         self.order = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32).copy() if order is None else order
         self.values = np.take_along_axis(matrix.T, self.order.astype(np.int64), axis=1)
@@ -42,60 +51,72 @@ class ImpactBlock:
         if dims:
             self.starts[:, LEVELS] = n
 
-    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (a row) the k best (ids, scores), ties to smaller ids; candidates of id own[i] are left out."""
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (a row) the k best (ids, scores), ties to smaller ids; candidates of id own[i] are left out.
+
+        With floors, only scores that reach a query's floor are sure to be given.
+        """
         queries = queries.astype(np.int64)
         out: list = [None] * len(queries)
+        floors = np.full(len(queries), LOWEST) if floors is None else floors
         if len(self.ids) <= 4 * k or not self.matrix.shape[1]:
             return [self._best(np.flatnonzero(self.ids != o), q, k) for q, o in zip(queries, own)]
         for low in range(0, len(queries), QUERIES_AT_ONCE):
-            self._search(queries[low : low + QUERIES_AT_ONCE], k, own[low : low + QUERIES_AT_ONCE], out, low)
+            part = slice(low, low + QUERIES_AT_ONCE)
+            self._search(queries[part], k, own[part], floors[part], out, low)
         return out
 
-    def _search(self, queries: np.ndarray, k: int, own: np.ndarray, out: list, at: int) -> None:
+    def _search(self, queries: np.ndarray, k: int, own: np.ndarray, floors: np.ndarray, out: list, at: int) -> None:
         n, dims = self.matrix.shape
         # The excess of a posting over its dimension's least contribution is not negative.
         reference = np.where(queries > 0, self.low[None, :], self.high[None, :])
         base = (queries * reference).sum(axis=1)
         reach = np.abs(queries) * (self.high - self.low)[None, :]
+        none = np.flatnonzero(base + reach.sum(axis=1) < floors)
+        for q in none.tolist():
+            out[at + q] = self._best(np.zeros(0, np.int64), queries[q], k)
+        live = np.setdiff1d(np.arange(len(queries)), none)
+        if not len(live):
+            return
         kind = np.int64 if reach.sum(axis=1).max() >= 1 << 30 else np.int32
-        # impact[q, d, l]: the highest quantised impact in the l-th segment by value; one beyond counts as 0.
+        # impact[q, d, l]: the highest impact in the l-th segment by value; one beyond counts as 0.
         rise = np.where((queries > 0)[:, :, None], self.edges[None, :, 1:] - self.low[None, :, None], self.high[None, :, None] - self.edges[None, :, :-1])
         impact = np.abs(queries)[:, :, None] * rise
-        live = np.arange(len(queries))
-        excess = np.zeros((n, len(queries)), dtype=kind)
-        done = np.zeros(impact.shape, dtype=bool)
-        for cut in (reach.max(axis=1) // 2, np.full(len(queries), -1)):
-            now = (impact > cut[:, None, None]) & ~done
-            done |= now
-            left = np.where(done, 0, impact).max(axis=2)  # what one posting not yet read may add, by dimension
-            seen = np.zeros((n, len(live)), dtype=kind)
-            last = bool((cut < 0).all())
+        quantum = impact * QUANTA // (impact.max(axis=(1, 2), keepdims=True) + 1)
+        excess = np.zeros((n, len(live)), dtype=kind)
+        seen = np.zeros((n, len(live)), dtype=np.int32)
+        for level in range(QUANTA - 1, -1, -1):
+            now = quantum[live] == level
             for d in range(dims):
-                for level in np.flatnonzero(done[live, d].any(axis=0)).tolist():
-                    a, b = int(self.starts[d, level]), int(self.starts[d, level + 1])
+                for part in np.flatnonzero(now[:, d].any(axis=0)).tolist():
+                    a, b = int(self.starts[d, part]), int(self.starts[d, part + 1])
                     if a == b:
                         continue
-                    rows = self.order[d, a:b]
-                    w = np.where(now[live, d, level], queries[live, d], 0)
+                    rows, these = self.order[d, a:b], now[:, d, part]
+                    w = np.where(these, queries[live, d], 0)
                     if w.any():
                         excess[rows] += np.multiply.outer(self.values[d, a:b].astype(kind), w.astype(kind)) - (w * reference[live, d]).astype(kind)[None, :]
-                    if not last:
-                        seen[rows] += np.where(done[live, d, level], left[live, d], 0).astype(kind)[None, :]
-            top = excess + left[live].sum(axis=1).astype(kind)[None, :] - seen  # what each vector can still reach
+                    if level:
+                        seen[rows] += these.astype(np.int32)[None, :]
+            # bound[q, c]: what the c dimensions of the largest impacts left may add.
+            left = np.sort(np.where(quantum[live] < level, impact[live], 0).max(axis=2), axis=1)[:, ::-1]
+            bound = np.concatenate([np.zeros((len(live), 1), left.dtype), np.cumsum(left, axis=1)], axis=1)
             going = []
             for column, q in enumerate(live.tolist()):
                 allowed = np.flatnonzero(self.ids != own[q])
                 lead = allowed[np.argpartition(-excess[allowed, column], k - 1)[:k]]
-                least = int((self.matrix[lead].astype(np.int64) @ queries[q]).min()) - base[q]
-                possible = allowed[top[allowed, column] >= least]
-                if last or len(possible) <= max(4 * k, n // 8):
+                least = max(int((self.matrix[lead].astype(np.int64) @ queries[q]).min()), int(floors[q])) - int(base[q])
+                can = excess[allowed, column] + (bound[column][dims - seen[allowed, column]] if level else 0)
+                possible = allowed[can >= least]
+                if not level or len(possible) <= max(4 * k, n // 8):
+                    self.levels_left.append(level)
                     out[at + q] = self._best(possible, queries[q], k)
                 else:
                     going.append(column)
             if not going:
                 return
-            excess, live = excess[:, going].copy(), live[going]
+            if len(going) < len(live):
+                excess, seen, live = excess[:, going].copy(), seen[:, going].copy(), live[going]
 
     def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.matrix[rows].astype(np.int64) @ query
@@ -119,6 +140,8 @@ def _packed(group: pa.Table, with_order: bool) -> pa.Table:
     matrix[np.arange(matrix.shape[1])[None, :] < lengths[:, None]] = np.asarray(lists.values)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
     narrow = np.int16 if np.abs(matrix).max(initial=0) < 1 << 15 else np.int64
     out = {"block": group["block"].slice(0, 1), "ids": pa.array([ids.tobytes()]), "dims": pa.array([matrix.shape[1]], pa.int32()), "width": pa.array([np.dtype(narrow).itemsize], pa.int32()), "matrix": pa.array([matrix.astype(narrow).tobytes()])}
+    if "floor" in group.column_names:
+        out["floors"] = pa.array([group["floor"].to_numpy().astype(np.int64).tobytes()])
     if with_order:
         out["postings"] = pa.array([ImpactBlock(ids, matrix).order.astype(np.int16 if len(ids) < 1 << 15 else np.int32).tobytes()])
     return pa.table(out)
@@ -136,6 +159,31 @@ def _wide(matrix: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(matrix, ((0, 0), (0, dims - matrix.shape[1]))) if matrix.shape[1] < dims else matrix
 
 
+def _groups(asked: DataFrame) -> DataFrame:
+    """Queries with their floors, a group a row."""
+    packed = asked.groupBy("block").applyInArrow(lambda t: _packed(t, False), f"{_BLOCK}, floors binary")
+    return packed.select(F.col("block").alias("g"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "width", "matrix", "floors")])
+
+
+def _hits(index: DataFrame, sought: DataFrame, groups: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each block for each query; each block goes to each group of queries, both of bounded size."""
+    both = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(sought, "g")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, matrix = _unpacked(r["ids"], r["dims"], r["width"], r["matrix"])
+                q_ids, q_matrix = _unpacked(r["q_ids"], r["q_dims"], r["q_width"], r["q_matrix"])
+                dims = max(r["dims"], r["q_dims"])
+                order = np.frombuffer(r["postings"], np.int16 if len(ids) < 1 << 15 else np.int32).reshape(r["dims"], -1)
+                block = ImpactBlock(ids, matrix, order) if r["dims"] == dims else ImpactBlock(ids, _wide(matrix, dims))
+                found = block.search(_wide(q_matrix, dims), k, q_ids, np.frombuffer(r["q_floors"], np.int64))
+                columns = np.repeat(q_ids, [len(x[1]) for x in found]), np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    return both.repartition("g", "block").mapInArrow(search, "query_id long, vec_id long, score long")
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors of df by integer inner product.
 
@@ -146,33 +194,22 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", ve
     candidates each; a repeated query key is answered once, for its smallest
     vector.  Empty tables give an empty result.
 
-    Blocks of queries meet blocks of the index, so the work is the product of
-    the two tables less what the proofs save; nothing goes through the driver.
+    Groups of queries meet blocks of the index, so the work is the product of
+    the two tables less what the floors and proofs save (little, where scores
+    are as close as those of random directions); nothing goes through the driver.
+    Vectors of any length are read whole.
     """
     rows = saved(quantised(df, key, vector, scale))
     asked = saved(quantised(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")))
     n, m = rows.count(), asked.count()
     blocks, groups = -(-n // block_rows) or 1, -(-m // query_rows) or 1
     deal = lambda frame, parts: frame.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int"))
-    index = deal(rows, blocks).groupBy("block").applyInArrow(lambda t: _packed(t, True), f"{_BLOCK}, postings binary")
-    sought = deal(asked, groups).groupBy("block").applyInArrow(lambda t: _packed(t, False), _BLOCK)
-    sought = sought.select(F.col("block").alias("g"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "width", "matrix")])
-    # Each block of the index goes to each group of queries, both of bounded size.
-    both = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(sought, "g")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, matrix = _unpacked(r["ids"], r["dims"], r["width"], r["matrix"])
-                q_ids, q_matrix = _unpacked(r["q_ids"], r["q_dims"], r["q_width"], r["q_matrix"])
-                dims = max(r["dims"], r["q_dims"])
-                order = np.frombuffer(r["postings"], np.int16 if len(ids) < 1 << 15 else np.int32).reshape(r["dims"], -1)
-                block = ImpactBlock(ids, matrix, order) if r["dims"] == dims else ImpactBlock(ids, _wide(matrix, dims))
-                q_matrix = _wide(q_matrix, dims)
-                found = [(q, *x) for q, x in zip(q_ids.tolist(), block.search(q_matrix, k, q_ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x[1]) for x in found])), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], ["query_id", "vec_id", "score"])
-
-    hits = both.repartition("g", "block").mapInArrow(search, "query_id long, vec_id long, score long")
+    index = saved(deal(rows, blocks).groupBy("block").applyInArrow(lambda t: _packed(t, True), f"{_BLOCK}, postings binary"))
+    leading = index.where("block = 0")
+    first = saved(_hits(leading, _groups(deal(asked.withColumn("floor", F.lit(LOWEST)), groups)), groups, k))
+    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    floored = asked.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("floor", F.lit(LOWEST)).alias("floor"))
+    hits = first.unionByName(_hits(index.where("block <> 0"), _groups(deal(floored, groups)), groups, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
