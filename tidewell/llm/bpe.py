@@ -1,13 +1,15 @@
 """BPE encoding and decoding with tree concatenation.
 
-Ordinary words (what the tokenizer's pre-tokenizer yields) are encoded once
-and kept in a bounded table.  Long unsplit text takes the tree: a long word is
-halved, its halves are encoded, and at each join a window of tokens is
-re-encoded, growing until its outer tokens agree with both sides.  A token
-sequence in which every neighbouring pair stands as BPE would leave it is the
-BPE encoding of its text, so agreement at both ends makes the join exact.  Long
-documents are cut into pieces that Spark encodes in parallel; their joins
-re-split growing windows of text in the same way, until word boundaries agree.
+Unsplit text (a word, as the tokenizer's pre-tokenizer yields it) is encoded by
+a tree: while longer than a leaf it is halved, its halves are encoded, and at
+each join a window of tokens is re-encoded, growing until its outer tokens agree
+with both sides.  A token sequence in which every neighbouring pair stands as
+BPE would leave it is the BPE encoding of its text, so agreement at both ends
+makes the join exact.  Words are kept in a bounded table.  Long documents are
+cut into pieces that Spark encodes in parallel; their joins re-split growing
+windows of text in the same way, until word boundaries agree.  Of the
+tokenizers library only the normal form and, beyond code point 0x24F, the
+pre-tokenizer are used; no text is encoded by it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import heapq
 import json
 import os
 import re
-from itertools import chain
+from itertools import chain, groupby
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .textcore import slices
 
-LONG_WORD = 64
+LEAF = 64
+#: The rank of a pair that is never merged.
+NONE = 1 << 62
 LONG_TEXT = 1 << 16
-TABLE_ENTRIES = 150_000
+TABLE_ENTRIES = 200_000
 #: Bytes of text whose results a worker holds at once.
 SLICE_BYTES = 2 << 20
 #: A cut text's word boundaries are certain this many characters before the cut (the longest contraction has 3).
@@ -94,9 +98,7 @@ class TreeBpe:
         self.rank = {(a, b): n for n, (a, b) in enumerate(merges)}
         self.symbols = byte_symbols()
         self.table_entries = table_entries
-        self._ids: dict[str, str] = {}  # word to its ids, as text
-        self._count: dict[str, int] = {}
-        self._text: dict[str, str] = {}  # word to its decoded text
+        self._known: dict[str, tuple[str, int, str]] = {}  # word to its ids as text, their number, its decoded text
 
     # Words.
 
@@ -105,6 +107,8 @@ class TreeBpe:
         n = len(symbols)
         if n < 2:
             return symbols
+        if n <= LEAF:
+            return self._merge_leaf(symbols)
         part: list[str | None] = list(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := self.rank.get((a, b))) is not None]
@@ -124,6 +128,20 @@ class TreeBpe:
                 heapq.heappush(heap, (r, h, part[h], part[i]))
         return [x for x in part if x is not None]
 
+    def _merge_leaf(self, symbols: list[str]) -> list[str]:
+        """merge() for few symbols, where a list of all ranks is quicker than a heap."""
+        part, get = list(symbols), self.rank.get
+        ranks = [get(pair, NONE) for pair in zip(part, part[1:])]
+        while ranks and (least := min(ranks)) < NONE:
+            i = ranks.index(least)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((part[i - 1], part[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = get((part[i], part[i + 1]), NONE)
+        return part
+
     def _split(self, token: str) -> list[str]:
         """The symbols that a token was merged from."""
         if token.endswith(SUFFIX) and len(token) > len(SUFFIX):
@@ -143,36 +161,28 @@ class TreeBpe:
                 return left[: max(0, len(left) - width)] + window + right[width:]
             width *= 2
 
-    def tree(self, symbols: list[str], leaf: int = LONG_WORD) -> list[str]:
+    def tree(self, symbols: list[str], leaf: int = LEAF) -> list[str]:
         """BPE of long unsplit text: halves, then their concatenation."""
         if len(symbols) <= leaf:
             return self.merge(symbols)
         half = len(symbols) // 2
         return self.concatenate(self.tree(symbols[:half], leaf), self.tree(symbols[half:], leaf))
 
-    def long_word(self, word: str) -> list[int]:
+    def word(self, word: str) -> list[int]:
         """Ids of one word of any length."""
         symbols = [self.symbols[b] for b in word.encode("utf-8")]
         symbols[-1] += SUFFIX
         return [self.vocab[t] for t in self.tree(symbols)]
 
     def _know(self, words: list[str]) -> None:
-        """Puts the words of a text into the tables, which start anew when full."""
-        missing = set(words).difference(self._ids)
-        if missing and len(self._ids) + len(missing) > self.table_entries:
-            self._ids.clear(), self._count.clear(), self._text.clear()
+        """Puts the words of a text into the table, which starts anew when full."""
+        missing = set(words).difference(self._known)
+        if missing and len(self._known) + len(missing) > self.table_entries:
+            self._known.clear()
             missing = set(words)
-        if missing:
-            self._learn(missing)
-
-    def _learn(self, words: set[str]) -> None:
-        short = [w for w in words if len(w) <= LONG_WORD]
-        found = [(w, e.ids) for w, e in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False))]
-        found += [(w, self.long_word(w)) for w in words if len(w) > LONG_WORD]
-        for word, ids in found:
-            self._ids[word] = " ".join(map(str, ids))
-            self._count[word] = len(ids)
-            self._text[word] = self.decode(ids)
+        for word in missing:
+            ids = self.word(word)
+            self._known[word] = " ".join(map(str, ids)), len(ids), self.decode(ids)
 
     # Texts.
 
@@ -201,7 +211,10 @@ class TreeBpe:
             return len(ids), " ".join(map(str, ids)), self.decode(ids)
         words = self.words(self.normalise(text))
         self._know(words)
-        return sum(map(self._count.__getitem__, words)), " ".join(map(self._ids.__getitem__, words)), " ".join(map(self._text.__getitem__, words))
+        if not words:
+            return 0, "", ""
+        ids, count, decoded = zip(*map(self._known.__getitem__, words))
+        return sum(count), " ".join(ids), " ".join(decoded)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null and empty have none."""
@@ -231,9 +244,9 @@ class TreeBpe:
     def _piece(self, normal: str, places: list[tuple[int, int]]) -> Piece:
         words = [normal[a:b] for a, b in places]
         self._know(words)
-        ids = " ".join(map(self._ids.__getitem__, words)).split()
+        found = [self._known[w] for w in words]
         ends = np.array(places, dtype=np.int64).reshape(-1, 2)
-        return Piece(normal, ends[:, 0], ends[:, 1], np.array([self._count[w] for w in words], dtype=np.int64), np.array(ids, dtype=np.int32))
+        return Piece(normal, ends[:, 0], ends[:, 1], np.array([n for _, n, _ in found], dtype=np.int64), np.array(" ".join(i for i, _, _ in found).split(), dtype=np.int32))
 
     def join(self, left: Piece, right: Piece) -> Piece:
         """The encoding of two neighbouring pieces in one."""
@@ -273,10 +286,8 @@ def cut(text: str, size: int) -> list[str]:
     """Pieces of about size characters, each but the first beginning with an ASCII character.
 
     Nothing before an ASCII character composes with it, so pieces can be
-    normalised alone.  A text holding special tokens' own strings isn't cut.
+    normalised alone.
     """
-    if SPECIAL.search(text):
-        return [text]
     out, at = [], 0
     while len(text) - at > size:
         to = at + size
@@ -287,6 +298,15 @@ def cut(text: str, size: int) -> list[str]:
     return [*out, text[at:]]
 
 
+def runs(text: str, size: int) -> list[tuple[int, str]]:
+    """Pieces with the number of their run: special tokens' own strings stand alone between runs of text."""
+    out, at, run = [], 0, 0
+    for m in SPECIAL.finditer(text):
+        out += [(run, x) for x in cut(text[at : m.start()], size) if x] + [(run + 1, m[0])]
+        at, run = m.end(), run + 2
+    return out + [(run, x) for x in cut(text[at:], size) if x]
+
+
 _ENCODERS: dict[str, TreeBpe] = {}
 
 
@@ -338,24 +358,26 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", add: tuple[str, .
 def _encode_long(wide: DataFrame, path: str, names: list[str], add, schema: str, size: int) -> DataFrame:
     """Texts in pieces: dealt out, encoded in parallel, joined a text at a time."""
     keyed = wide.withColumn("__row", F.monotonically_increasing_id())
-    rest = ", ".join([*(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in names), "__row long, __part int"])
+    place = ["__row", "__run", "__part"]
+    rest = ", ".join([*(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in names), "__row long, __run int, __part int"])
 
     def to_pieces(batches):
         for whole in batches:
             for batch in slices(whole, "__bpe_text", SLICE_BYTES):
-                parts = [cut(t.as_py(), size) for t in batch.column("__bpe_text")]
+                parts = [runs(t.as_py(), size) for t in batch.column("__bpe_text")]
                 index = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
                 arrays = [batch.column(c).take(index) for c in [*names, "__row"]]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for x in p], pa.string())], [*names, "__row", "__part", "piece"])
+                made = [pa.array([run for p in parts for run, _ in p], pa.int32()), pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for _, x in p], pa.string())]
+                yield pa.RecordBatch.from_arrays([*arrays, *made], [*names, *place, "piece"])
 
     def encode(batches):
         bpe = encoder(path)
         for whole in batches:
             for batch in slices(whole, "piece", SLICE_BYTES):
-                found = [None if SPECIAL.search(t.as_py()) else bpe.piece(t.as_py()) for t in batch.column("piece")]
+                found = [None if SPECIAL.fullmatch(t.as_py()) else bpe.piece(t.as_py()) for t in batch.column("piece")]
                 text = [t.as_py() if p is None else p.text for t, p in zip(batch.column("piece"), found)]
                 packed = [None if p is None else np.concatenate([[len(p.start)], p.start, p.end, p.count, p.ids]).astype(np.int32).tobytes() for p in found]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in [*names, "__row", "__part"]] + [pa.array(text, pa.string()), pa.array(packed, pa.binary())], [*names, "__row", "__part", "piece", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in [*names, *place]] + [pa.array(text, pa.string()), pa.array(packed, pa.binary())], [*names, *place, "piece", "packed"])
 
     def unpack(text: str, packed: bytes) -> Piece:
         x = np.frombuffer(packed, dtype=np.int32).astype(np.int64)
@@ -365,13 +387,14 @@ def _encode_long(wide: DataFrame, path: str, names: list[str], add, schema: str,
     def combine(group: pa.Table) -> pa.Table:
         bpe = encoder(path)
         group = group.sort_by("__part")
-        texts, packed = group["piece"].to_pylist(), group["packed"].to_pylist()
-        if packed[0] is None:
-            row = _row(*bpe.digest_parts(texts[0]), add)
-        else:
-            ids = bpe.join_all([unpack(*x) for x in zip(texts, packed)]).ids.tolist()
-            row = _row(len(ids), " ".join(map(str, ids)), bpe.decode(ids), add)
+        ids: list[int] = []
+        for _, run in groupby(zip(group["__run"].to_pylist(), group["piece"].to_pylist(), group["packed"].to_pylist()), key=lambda x: x[0]):
+            pieces = list(run)
+            ids += [bpe.library.token_to_id(pieces[0][1])] if pieces[0][2] is None else bpe.join_all([unpack(*x[1:]) for x in pieces]).ids.tolist()
+        row = _row(len(ids), " ".join(map(str, ids)), bpe.decode(ids), add)
         return pa.table([group[c].slice(0, 1).combine_chunks() for c in names] + [pa.array([row[k]], type=_ARROW[_ADDED[k]]) for k in add], names=[*names, *add])
 
-    pieces = keyed.mapInArrow(to_pieces, f"{rest}, piece string").repartition("__row", "__part")
+    # A number of partitions is named so that few but costly pieces aren't brought together in one task.
+    parts = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = keyed.mapInArrow(to_pieces, f"{rest}, piece string").repartition(parts, "__row", "__part")
     return pieces.mapInArrow(encode, f"{rest}, piece string, packed binary").groupBy("__row").applyInArrow(combine, schema)
