@@ -273,6 +273,23 @@ def test_topk_block_matches_brute_force():
         assert got.tolist() == ids[order].tolist() and scores.tolist() == exact[order].tolist()
 
 
+def test_topk_stops_on_proof():
+    """With a few heavy dimensions searches end before the last level, and floors pass over whole blocks."""
+    rng = np.random.default_rng(7)
+    m = (rng.normal(size=(3000, 24)) * np.array([2000.0] * 3 + [5.0] * 21)).astype(np.int16)
+    ids, q = np.arange(3000), m[:40]
+    block = topk.ImpactBlock(ids, m)
+    exact = m.astype(np.int64) @ q.astype(np.int64).T
+    for (got, scores), e, own in zip(block.search(q, 5, ids[:40]), exact.T, range(40)):
+        order = [k for k in np.lexsort((ids, -e)) if k != own][:5]
+        assert got.tolist() == order and scores.tolist() == e[order].tolist()
+    assert np.mean(np.array(block.levels_left) > 0) > 0.5 and len(set(block.levels_left)) > 3
+    high = exact.max(axis=0) + 1
+    reach = (np.maximum(q.astype(np.int64) * block.low, q.astype(np.int64) * block.high)).sum(axis=1)
+    assert all(not len(got) for got, _ in block.search(q, 5, ids[:40], reach + 1))
+    assert all((scores < h).all() for (_, scores), h in zip(block.search(q, 5, ids[:40], high), high))
+
+
 def test_topk_table(spark):
     rows = [(k, [float(x) for x in np.random.default_rng(k).normal(size=4)]) for k in range(60)]
     rows += [(60, None), (61, [1.0, None, 1.0, 1.0]), (62, [float("nan")] * 4), (63, [float("inf")] * 4), (64, []), (7, rows[7][1])]
@@ -409,6 +426,14 @@ def test_bpe_matches_library(coder):
         assert (n, joined) == (len(ids), " ".join(map(str, ids))) and decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_leaves_and_heap_agree(coder, monkeypatch):
+    rng = random.Random(9)
+    words_ = ["".join(rng.choice("athinger" if k % 2 else "aab") for _ in range(rng.randint(1, 60))) for k in range(600)]
+    leaves = [coder.word(w) for w in words_]
+    monkeypatch.setattr(bpe, "LEAF", 1)
+    assert [coder.word(w) for w in words_] == leaves
+
+
 def test_bpe_tables_start_anew():
     small = bpe.TreeBpe(tokenizer_path(), table_entries=50)
     texts = [" ".join(f"word{k}x{j}" for j in range(30)) for k in range(10)]
@@ -431,6 +456,20 @@ def test_bpe_rows(spark, coder):
     assert short == cut and len(bpe.encode_texts(df, tokenizer_path(), long_text=1000).collect()) == 9
     assert short[1]["n_tokens"] == 0 and short[1]["decoded"] == "" and short[7]["n_tokens"] == 50_000
     assert bpe.encode_texts(df.limit(0), tokenizer_path()).count() == 0
+    marked = [(k, ("<|endoftext|>" * (k % 3) + "some text " * 40 + "<|startoftext|>" + "x" * 300) * 3) for k in range(6)]
+    rows = bpe.encode_texts(spark.createDataFrame(marked, "k int, text string"), tokenizer_path(), long_text=100)
+    assert {r["k"]: r["ids"] for r in rows.collect()} == {k: coder.encode(t) for k, t in marked}
+
+
+def test_bpe_long_texts_are_dealt_out(spark):
+    """Pieces of one long text are encoded in several tasks."""
+    df = spark.createDataFrame([("word " * 2000,)], "text string")
+    spark.sparkContext.setJobGroup("bpe pieces", "")
+    bpe.encode_texts(df, tokenizer_path(), add=("n_tokens",), long_text=100).collect()
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("bpe pieces") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    spark.sparkContext.setJobGroup("", "")
+    assert tasks.count(int(spark.conf.get("spark.sql.shuffle.partitions"))) >= 1
 
 
 # 6. HTML.
