@@ -72,8 +72,11 @@ class EliasFano:
         high = (_select(self.high, self._ones, i) - i).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value >= x; n where there is none.  x must be below the universe."""
+    def successor(self, x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first value >= x; n where there is none.  x must be below the universe.
+
+        With low and high, of those at low to high - 1; high where there is none.
+        """
         x = np.asarray(x, dtype=np.uint64)
         if not len(x) or not self.n:
             return np.full(len(x), self.n, np.int64)
@@ -83,6 +86,8 @@ class EliasFano:
         start = np.zeros(len(x), np.int64)
         later = bucket > 0
         start[later] = _select(self._empty, self._zeros, bucket[later] - 1) - (bucket[later] - 1)
+        if low is not None:
+            start, end = np.clip(start, low, high), np.clip(end, low, high)
         sought = x & np.uint64((1 << self.low_bits) - 1)
         while (open_ := start < end).any():
             rows = np.flatnonzero(open_)
@@ -130,7 +135,8 @@ class NgramTrie:
     """Contexts, pointers to their successors, and the successors with quantised probabilities.
 
     A successor is kept relative to its context: word + context's rank * width,
-    which makes one monotone sequence of all; a look-up is a successor search in it.
+    which makes one monotone sequence of all.  A look-up finds the context, reads
+    from the pointers where its successors stand, and searches among these.
     """
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, width: int):
@@ -158,8 +164,12 @@ class NgramTrie:
         fits = np.flatnonzero(self._fits(self.contexts, context) & (word < self.width))
         rank = self.contexts.find(context[fits])
         fits, rank = fits[rank >= 0], rank[rank >= 0]
-        at = self.successors.find(rank * self.width + word[fits].astype(np.int64))
-        out[fits[at >= 0]] = self.codes[at[at >= 0]]
+        low, high = self.pointers.access(rank).astype(np.int64), self.pointers.access(rank + 1).astype(np.int64)
+        sought = rank * self.width + word[fits].astype(np.int64)
+        at = self.successors.successor(sought, low, high)
+        inside = np.flatnonzero(at < high)
+        inside = inside[self.successors.access(at[inside]).astype(np.int64) == sought[inside]]
+        out[fits[inside]] = self.codes[at[inside]]
         return out
 
     def successors_of(self, context: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +204,6 @@ class NgramTrie:
         return cls(contexts, pointers, successors, data[at : at + -(-n // 4)].view(np.uint16)[:n], width)
 
     @classmethod
-    def open(cls, path: str) -> NgramTrie:
-        """Memory-maps an image that to_bytes() made."""
-        return cls.from_buffer(np.memmap(path, dtype=np.uint64, mode="r"))
+    def open(cls, file) -> NgramTrie:
+        """Memory-maps an image that to_bytes() made: the file's path, or the open file."""
+        return cls.from_buffer(np.memmap(file, dtype=np.uint64, mode="r"))

@@ -3,8 +3,9 @@
 The documents are cut into batches of tokens, kept as a table.  Words are
 counted in shards by hash range, which also number them; bigrams are counted in
 shards by context, frequent contexts in several.  Each bigram shard becomes a
-compact trie (:mod:`elias_fano`) of quantised smoothed probabilities, and
-answers the batches' look-ups.  The model interpolates with a Dirichlet prior:
+compact trie (:mod:`elias_fano`) of quantised smoothed probabilities; its image
+is kept with the answers in the shared folder, and is memory-mapped for the
+batches' look-ups.  The model interpolates with a Dirichlet prior:
 
     P(w | c) = n(c, w) / (n(c) + MU) + MU / (n(c) + MU) * P(w)
 
@@ -16,6 +17,7 @@ sums and the number of words of each shard.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from typing import Iterator
 
@@ -202,8 +204,16 @@ def build_trie(code: np.ndarray, counts: np.ndarray, of_context: np.ndarray, mu:
     return NgramTrie.build((code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64), counts[seen] / (of_context[seen] + mu))
 
 
+def mapped(image: bytes) -> NgramTrie:
+    """A trie over a memory-mapped file of its image; the file has no name and goes with the trie."""
+    with tempfile.TemporaryFile() as file:
+        file.write(image)
+        file.flush()
+        return NgramTrie.open(file)
+
+
 def _answers(mu: float):
-    """The codes of each batch's bigrams, from the trie of their shard."""
+    """The codes of each batch's bigrams, from the trie of their shard; in one row without batch, the trie's image."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -214,13 +224,16 @@ def _answers(mu: float):
             codes.append((context << np.uint64(32)) | unpack(r["words"]).astype(np.uint64))
             counts.append(unpack(r["counts"]))
             of_context.append(np.repeat(unpack(r["of_context"]), runs))
+        ends = np.cumsum([0, *map(len, codes)])
         every, total, place = _merged(codes, counts)
         context_count = np.empty(len(every), np.int64)
         context_count[place] = np.concatenate(of_context)
-        trie = NgramTrie.from_buffer(build_trie(every, total, context_count, mu).to_bytes())
-        found = trie.codes_of((every >> np.uint64(32)).astype(np.int64), (every & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        ends = np.cumsum([0, *map(len, codes)])
-        return pa.table([pa.array([r["batch"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array([b""] * len(rows), pa.binary()), pa.array([pack(found[place[a:b]]) for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([-1] * len(rows), pa.int64())], names=["batch", "shard", "a", "b", "n"])
+        image = build_trie(every, total, context_count, mu).to_bytes()
+        del codes[:], counts[:], of_context[:], total, context_count
+        found = mapped(image).codes_of((every >> np.uint64(32)).astype(np.int64), (every & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        out = [(r["batch"], r["shard"], b"", pack(found[place[a:b]]), -1) for r, a, b in zip(rows, ends, ends[1:])]
+        out.append((None, rows[0]["shard"], image, b"", -1))
+        return pa.table([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["batch", "shard", "a", "b", "n"])
 
     return run
 
@@ -263,8 +276,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out
     Tokens are the words of :mod:`textcore` and one end for each text, so a null
     or empty text has one token.  Scores are log10: of the unigram base (each
     token's training count plus 0.1) and of the bigram model.  Repeated rows
-    count and are scored each; an empty table gives an empty one; without a
-    training row every token is unseen.
+    count and are scored each; texts of any length are read whole; an empty
+    table gives an empty one; without a training row every token is unseen.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), (F.crc32(F.col(f"`{key}`").cast("string")) % held_out == 0).alias("held"))
     batches = saved(rows.mapInArrow(_to_batches, _BATCHES))
@@ -280,5 +293,5 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out
     tokens = batches.select("batch", "docs", "role", "lengths", "tokens")
     numbered = replies.where("batch is not null")
     counted = tokens.groupBy("batch").cogroup(numbered.groupBy("batch")).applyInArrow(_bigram_counts(offsets, sums["n_train_docs"], shards), "shard int, batch long, contexts binary, runs binary, of_context binary, words binary, counts binary")
-    answers = saved(counted.groupBy("shard").applyInArrow(_answers(mu), _REPLIES))
+    answers = saved(counted.groupBy("shard").applyInArrow(_answers(mu), _REPLIES)).where("batch is not null")
     return tokens.groupBy("batch").cogroup(numbered.unionByName(answers).groupBy("batch")).applyInArrow(_scores(offsets, sums["n_train"], sums["n_train_docs"], shards, mu, key), f"`{key}` long, {_SCORES}")
