@@ -531,6 +531,10 @@ def test_elias_fano():
         v = np.sort(rng.integers(0, top, n))
         e = elias_fano.EliasFano.build(v, top)
         x = rng.integers(0, top, 50)
+        low = rng.integers(0, n + 1, 50)
+        high = np.array([rng.integers(k, n + 1) for k in low])
+        if n:
+            assert e.successor(x, low, high).tolist() == [int(a + np.searchsorted(v[a:b], y)) for y, a, b in zip(x, low, high)]
         assert (e.access(np.arange(n)).astype(np.int64) == v).all() and (e.successor(x) == np.searchsorted(v, x)).all()
 
 
@@ -541,6 +545,9 @@ def test_trie_is_memory_mapped(tmp_path):
     trie = elias_fano.NgramTrie.open(str(tmp_path / "trie"))
     assert (trie.codes_of(c, w) == elias_fano.quantise(p)).all() and trie.successors_of(int(c[0]))[0].tolist() == w[c == c[0]].tolist()
     assert (trie.codes_of(np.array([10**6, 3]), np.array([1, 10**6])) == 0).all()
+    # Every context with every word: only its own successors are found, within its pointers.
+    pairs, known = [(a, b) for a in range(51) for b in range(101)], dict(zip(zip(c.tolist(), w.tolist()), elias_fano.quantise(p).tolist()))
+    assert lm.mapped(trie.to_bytes()).codes_of(*map(np.array, zip(*pairs))).tolist() == [known.get(x, 0) for x in pairs]
     assert np.abs(np.log10(elias_fano.dequantise(elias_fano.quantise(p))) - np.log10(p)).max() < 2e-4
 
 
