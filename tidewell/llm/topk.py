@@ -4,11 +4,12 @@ Vectors are quantised to integers.  The index cuts them into blocks; in a
 block, each dimension has its postings in order of value, cut into segments of
 like impact.  A segment's impact for a query is the weight times its highest
 excess over the block's least contribution, quantised to QUANTA levels of the
-query's greatest.  Segments are processed level by level from the highest.
-After each level the k-th best exact score so far is held against what every
-other vector can still reach: its excess, and for as many dimensions as it has
-not been seen in, the largest impacts left.  Search stops only when that proves
-all but a few vectors out, and those few are rescored exactly.
+query's greatest.  Segments are processed level by level from the highest; as
+long as more is left than the k-th best score found, so that no vector can be
+ruled out, levels are read on.  Then after each level the k-th best exact score
+so far is held against what every other vector can still reach: its excess and
+the largest impacts left.  Search stops only when that proves all but a few
+vectors out, and those few are rescored exactly.
 
 One block is searched first; its k-th best scores are floors for the others, of
 which those that cannot reach them are passed over before a posting is read.
@@ -32,6 +33,8 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 QUERIES_AT_ONCE = 128
 LOWEST = -(1 << 62)
+#: So many postings of so many dimensions give a query its first k-th best score.
+HEADS = 16
 
 
 class ImpactBlock:
@@ -83,40 +86,42 @@ class ImpactBlock:
         rise = np.where((queries > 0)[:, :, None], self.edges[None, :, 1:] - self.low[None, :, None], self.high[None, :, None] - self.edges[None, :, :-1])
         impact = np.abs(queries)[:, :, None] * rise
         quantum = impact * QUANTA // (impact.max(axis=(1, 2), keepdims=True) + 1)
+        # left[q, l]: what a vector can still gain once the levels from l up have been read.
+        left = np.stack([np.where(quantum < level, impact, 0).max(axis=2).sum(axis=1) for level in range(QUANTA)], axis=1)
+        least = np.maximum(floors, [self._start(q, k, o) for q, o in zip(queries, own)]) - base
+        # Until less is left than the k-th best score no vector can be ruled out, so levels down to there are read at once.
+        level = np.array([int(np.flatnonzero(x < y)[-1]) if (x < y).any() else 0 for x, y in zip(left, least)])
+        fresh = True
         excess = np.zeros((n, len(live)), dtype=kind)
-        seen = np.zeros((n, len(live)), dtype=np.int32)
-        for level in range(QUANTA - 1, -1, -1):
-            now = quantum[live] == level
+        while len(live):
+            now = quantum[live] >= level[live][:, None, None] if fresh else quantum[live] == level[live][:, None, None]
+            fresh = False
             for d in range(dims):
                 for part in np.flatnonzero(now[:, d].any(axis=0)).tolist():
                     a, b = int(self.starts[d, part]), int(self.starts[d, part + 1])
-                    if a == b:
-                        continue
-                    rows, these = self.order[d, a:b], now[:, d, part]
-                    w = np.where(these, queries[live, d], 0)
-                    if w.any():
-                        excess[rows] += np.multiply.outer(self.values[d, a:b].astype(kind), w.astype(kind)) - (w * reference[live, d]).astype(kind)[None, :]
-                    if level:
-                        seen[rows] += these.astype(np.int32)[None, :]
-            # bound[q, c]: what the c dimensions of the largest impacts left may add.
-            left = np.sort(np.where(quantum[live] < level, impact[live], 0).max(axis=2), axis=1)[:, ::-1]
-            bound = np.concatenate([np.zeros((len(live), 1), left.dtype), np.cumsum(left, axis=1)], axis=1)
+                    w = np.where(now[:, d, part], queries[live, d], 0)
+                    if a < b and w.any():
+                        excess[self.order[d, a:b]] += np.multiply.outer(self.values[d, a:b].astype(kind), w.astype(kind)) - (w * reference[live, d]).astype(kind)[None, :]
             going = []
             for column, q in enumerate(live.tolist()):
                 allowed = np.flatnonzero(self.ids != own[q])
                 lead = allowed[np.argpartition(-excess[allowed, column], k - 1)[:k]]
-                least = max(int((self.matrix[lead].astype(np.int64) @ queries[q]).min()), int(floors[q])) - int(base[q])
-                can = excess[allowed, column] + (bound[column][dims - seen[allowed, column]] if level else 0)
-                possible = allowed[can >= least]
-                if not level or len(possible) <= max(4 * k, n // 8):
-                    self.levels_left.append(level)
+                least[q] = max(int(least[q]), int((self.matrix[lead].astype(np.int64) @ queries[q]).min()) - int(base[q]))
+                possible = allowed[excess[allowed, column] + (int(left[q, level[q]]) if level[q] else 0) >= least[q]]
+                if not level[q] or len(possible) <= max(4 * k, n // 8):
+                    self.levels_left.append(int(level[q]))
                     out[at + q] = self._best(possible, queries[q], k)
                 else:
                     going.append(column)
-            if not going:
-                return
-            if len(going) < len(live):
-                excess, seen, live = excess[:, going].copy(), seen[:, going].copy(), live[going]
+            excess, live = excess[:, going].copy(), live[going]
+            level[live] -= 1
+
+    def _start(self, query: np.ndarray, k: int, own: int) -> int:
+        """A score that k vectors reach: the k-th best of those at the heads of the heaviest dimensions."""
+        heavy = np.argsort(-np.abs(query) * (self.high - self.low))[:HEADS]
+        rows = np.unique(np.concatenate([self.order[d, -HEADS:] if query[d] > 0 else self.order[d, :HEADS] for d in heavy]))
+        rows = rows[self.ids[rows] != own]
+        return int(np.sort(self.matrix[rows].astype(np.int64) @ query)[-k]) if len(rows) >= k else LOWEST
 
     def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.matrix[rows].astype(np.int64) @ query
