@@ -14,8 +14,8 @@ CHOSEN = (
     "population_first_episode", "features_wide", "survival_competing_risk", "profile_prevalence_gated", "vocabulary_expand", "noise_bounded_records", "incidence_rate",
 )
 
-#: Iterative or ordered by state: checked by rows only.
-NO_SQL = ["dechallenge_rechallenge", "kaplan_meier", "survival_multi_state"]
+#: Iterative fits, and a tree of paths that is cut layer by layer: tests/test_analyses.py has small cases of them.
+NO_SQL = ["cm_cox", "cm_propensity", "sccs_irr", "txpath_gated"]
 
 
 @pytest.fixture(scope="module")

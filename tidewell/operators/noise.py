@@ -101,8 +101,12 @@ def binary_rate(df: DataFrame, value: str, how: str = "any", person: str = "pers
     return each.agg(F.count(F.when(F.col("v") == 1, 1)).alias("numerator"), F.count(F.lit(1)).alias("denominator"))
 
 
-def release(frame: DataFrame, key: bytes, query: dict, epsilon: float, columns: Sequence[str], labels: Sequence[str] = (), sensitivity: int = 1) -> DataFrame:
-    """A bounded aggregate with noise on its value columns; the result has one row a fixed level, so it fits the driver."""
+def release(frame: DataFrame, key: bytes, query: dict, epsilon: float, columns: Sequence[str], labels: Sequence[str] = (), sensitivity: int | dict[str, int] = 1) -> DataFrame:
+    """A bounded aggregate with noise on its value columns; the result has one row a fixed level, so it fits the driver.
+
+    sensitivity: how much one person can change each value column.
+    """
     rows = frame.collect()
-    out = [tuple(noisy(key, query, f"{c}|" + "|".join(str(r[x]) for x in labels), int(r[c]), epsilon, sensitivity) if c in columns else r[c] for c in frame.columns) for r in rows]
+    most = dict.fromkeys(columns, sensitivity) if isinstance(sensitivity, int) else sensitivity
+    out = [tuple(noisy(key, query, f"{c}|" + "|".join(str(r[x]) for x in labels), int(r[c]), epsilon, most[c]) if c in columns else r[c] for c in frame.columns) for r in rows]
     return frame.sparkSession.createDataFrame(out, frame.schema)

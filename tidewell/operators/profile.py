@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import month_key, quarter_label
+from ..functions.running import values_at
 from ..sources.cdm import Cdm
-from .gate import Policy, complementary
+from ..sources.sinks import staged
+from .gate import Policy, complementary, gate
+
+#: Levels of an axis of a cross-table.
+LEVELS = 1000
 
 
 def table_stats(df: DataFrame, person: str = "person_id") -> DataFrame:
@@ -75,16 +80,41 @@ def date_counts(df: DataFrame, column: str, unit: str, person: str = "person_id"
 def offset_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], protect: int, person: str = "person_id") -> DataFrame:
     """Quantiles as values of real rows, at least protect of them from either end, over one mean a person.
 
-    Spark's exact percentile at k / (n - 1) is the k-th ordered value, so no
-    global sort in one partition is needed.  Without enough persons no row.
+    The values at their ranks are found from running counts over ranges of the
+    values, so neither one partition nor one aggregate holds them all.  Without
+    enough persons no row.
     """
-    means = df.where(F.col(value).isNotNull()).groupBy(person).agg(F.avg(value).alias("v"))
+    means = staged(df.where(F.col(value).isNotNull()).groupBy(person).agg(F.avg(value).alias("v")))
     n = means.count()
+    schema = ", ".join(f"p{round(100 * p):02d} double" for p in probabilities)
     if n < 2 * protect + 1:
-        return df.sparkSession.createDataFrame([], ", ".join(f"p{round(100 * p):02d} double" for p in probabilities))
-    at = [min(max(int((n - 1) * p), protect), n - 1 - protect) / max(n - 1, 1) for p in probabilities]
-    q = means.agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q"))
-    return q.select(*[F.round(F.col("q")[k], 6).alias(f"p{round(100 * p):02d}") for k, p in enumerate(probabilities)])
+        return df.sparkSession.createDataFrame([], schema)
+    found = values_at(means, "v", [min(max(int((n - 1) * p), protect), n - 1 - protect) for p in probabilities])
+    return df.sparkSession.createDataFrame([tuple(float(v) for v in found)], schema).select(*[F.round(c.split()[0], 6).alias(c.split()[0]) for c in schema.split(", ")])
+
+
+def numeric_range(df: DataFrame, value: str, policy: Policy, person: str = "person_id") -> DataFrame:
+    """The 5th and 95th percentile over one mean a person; the tails hold enough persons to hide in."""
+    return offset_quantiles(df, value, (0.05, 0.95), policy.tab, person)
+
+
+def drilldown(df: DataFrame, concept: str, concept_id: int, policy: Policy, value: str | None = None, date: str | None = None, category: str | None = None, person: str = "person_id") -> dict[str, DataFrame]:
+    """What is known of one concept in a table: summary, and where there are such columns its numbers, dates and categories, gated."""
+    rows = df.where(F.col(concept) == concept_id)
+    released = lambda frame: gate(frame, "record", ["n_records"], policy, companion="n_persons")
+    out = {"summary": released(table_stats(rows, person)), "missingness": missingness(rows, [c for c in rows.columns if c not in (person, concept)], person, policy.band)}
+    if value is not None:
+        out["numeric"] = person_numeric(rows, value, person).where(F.col("n_persons") >= policy.dist)
+    if date is not None:
+        out["dates"] = released(date_counts(rows, date, "year", person))
+    if category is not None:
+        out["categories"] = released(value_counts(rows, category, person))
+    return out
+
+
+def relationship_graph(links: Sequence[tuple[str, str, str]]) -> list[dict]:
+    """Edges between tables by the columns that name them."""
+    return [{"from": a, "column": c, "to": b} for a, c, b in links]
 
 
 def histogram(df: DataFrame, value: str, breaks: Sequence[float], person: str = "person_id", minimum: int = 0) -> DataFrame:
@@ -120,23 +150,35 @@ def locate(cdm: Cdm, concepts: Sequence[int], columns: Sequence[tuple[str, str]]
     return out
 
 
-def crosstab(df: DataFrame, row: str, column: str, policy: Policy | None = None, person: str = "person_id") -> DataFrame:
+def crosstab(df: DataFrame, row: str, column: str, policy: Policy | None = None, person: str = "person_id", strata: str | None = None) -> DataFrame:
     """Persons by pairs of levels, dense; with a policy small cells and their complements are hidden and the rest banded.
 
-    Suppression works on the released table, at most policy.levels a side.
+    Each axis has at most LEVELS levels (policy.levels of them with a policy,
+    and two at least), which is checked before the dense table is made; with
+    strata there is one such table for each of its levels.
     """
-    counts = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("row"), F.col(column).alias("col")).agg(F.countDistinct(person).alias("n_persons"))
-    rows, cols = counts.select("row").distinct(), counts.select("col").distinct()
-    dense = rows.join(F.broadcast(cols), F.lit(True)).join(counts, ["row", "col"], "left").fillna(0, ["n_persons"])
+    keys = ["row", "col", *(["stratum"] if strata else [])]
+    named = [F.col(row).alias("row"), F.col(column).alias("col"), *([F.col(strata).alias("stratum")] if strata else [])]
+    counts = staged(df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*named).agg(F.countDistinct(person).alias("n_persons")))
+    sizes = counts.agg(*[F.countDistinct(k).alias(k) for k in keys]).first()
+    if any(sizes[k] > (policy.levels if policy else LEVELS) for k in keys):
+        raise ValueError("too many levels")
+    if policy is not None and min(sizes["row"], sizes["col"]) < 2:
+        raise ValueError("too few levels")
+    dense = counts.select(keys[0]).distinct()
+    for k in keys[1:]:  # of at most so many levels each
+        dense = dense.join(F.broadcast(counts.select(k).distinct()), F.lit(True))
+    dense = dense.join(counts, keys, "left").fillna(0, ["n_persons"])
     if policy is None:
         return dense
-    found = dense.orderBy("row", "col").limit(policy.levels * policy.levels + 1).collect()
-    if len(found) > policy.levels * policy.levels:
-        raise ValueError("too many levels")
-    names = sorted({r["row"] for r in found}), sorted({r["col"] for r in found})
-    at = {(r["row"], r["col"]): r["n_persons"] for r in found}
-    hidden = complementary([[at[r, c] for c in names[1]] for r in names[0]], policy.tab)
-    out = [(r, c, None if v is None else v // policy.band * policy.band) for r, line in zip(names[0], hidden) for c, v in zip(names[1], line)]
+    found = dense.collect()
+    out = []
+    for stratum in sorted({r["stratum"] for r in found}, key=str) if strata else [None]:
+        part = [r for r in found if not strata or r["stratum"] == stratum]
+        names = sorted({r["row"] for r in part}), sorted({r["col"] for r in part})
+        at = {(r["row"], r["col"]): r["n_persons"] for r in part}
+        hidden = complementary([[at[r, c] for c in names[1]] for r in names[0]], policy.tab)
+        out += [(r, c, *([stratum] if strata else []), None if v is None else v // policy.band * policy.band) for r, line in zip(names[0], hidden) for c, v in zip(names[1], line)]
     return df.sparkSession.createDataFrame(out, dense.schema)
 
 

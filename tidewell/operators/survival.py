@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +100,6 @@ def transition_graph(edges: Sequence[tuple[str, str]]) -> tuple[list[str], list[
     return states, sorted({(number[a], number[b]) for a, b in edges})
 
 
-_MULTI = "subject_id long, cohort_start_date date, cohort_end_date date, from_state long, to_state long, start double, stop double, status long"
-
-
 def multi_state(sets: DataFrame, events: DataFrame, states: Sequence[str], edges: Sequence[tuple[int, int]], first: str) -> DataFrame:
     """One row for each outgoing edge of each state an episode visits; status 1 on the edge taken.
 
@@ -113,30 +109,22 @@ def multi_state(sets: DataFrame, events: DataFrame, states: Sequence[str], edges
     other by equal parts of it.
     """
     number = {s: k for k, s in enumerate(states, 1)}
-    out_edges = {s: [b for a, b in edges if a == s] for s in number.values()}
-    seed = number[first]
+    ways = {s: [b for a, b in edges if a == s] for s in number.values()}
     known = sets.sparkSession.createDataFrame([(s, k) for s, k in number.items()], "state string, state_id long")
     ev = events.join(F.broadcast(known), "state").select(F.col("person_id").alias("subject_id"), "state_id", "event_date").distinct()
     joined = sets.join(ev, "subject_id").where("event_date BETWEEN entry AND exit")
-    per = joined.groupBy(*EPISODE).agg(F.array_sort(F.collect_list(F.struct(day_diff(F.col("event_date"), F.col("entry")).alias("day"), "state_id"))).alias("events"))
-    rows = sets.join(per, EPISODE, "left").select(*EPISODE, day_diff(F.col("exit"), F.col("entry")).alias("last"), "events")
-
-    def walk(batches):
-        for df in batches:
-            out = []
-            for r in df.itertuples(index=False):
-                state, since = seed, 0.0
-                listed = [(int(e["day"]), int(e["state_id"])) for e in (r.events if r.events is not None else [])]
-                days = pd.Series([d for d, _ in listed]).value_counts().to_dict() if listed else {}
-                seen: dict[int, int] = {}
-                for day, to in listed:
-                    seen[day] = seen.get(day, 0) + 1
-                    at = day + (seen[day] - 1) / days[day]
-                    if to not in out_edges[state]:
-                        continue
-                    out += [(r.subject_id, r.cohort_start_date, r.cohort_end_date, state, b, since, at, int(b == to)) for b in out_edges[state]]
-                    state, since = to, at
-                out += [(r.subject_id, r.cohort_start_date, r.cohort_end_date, state, b, since, float(r.last), 0) for b in out_edges[state] if r.last > since]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _MULTI.split(", ")])
-
-    return rows.mapInPandas(walk, _MULTI)
+    day = Window.partitionBy(*EPISODE, "event_date")
+    part = (F.row_number().over(day.orderBy("state_id")) - 1) / F.count(F.lit(1)).over(day)
+    timed = joined.withColumn("at", day_diff(F.col("event_date"), F.col("entry")) + part)
+    per = timed.groupBy(*EPISODE).agg(F.array_sort(F.collect_list(F.struct("at", "state_id"))).alias("events"))
+    rows = sets.join(per, EPISODE, "left").select(*EPISODE, day_diff(F.col("exit"), F.col("entry")).cast("double").alias("last"), "events")
+    edge = "struct<from_state: bigint, to_state: bigint, start: double, stop: double, status: bigint>"
+    graph = "map(" + ", ".join(f"{s}L, cast(array({', '.join(f'{b}L' for b in to)}) as array<bigint>)" for s, to in ways.items()) + ")"
+    # The state, since when, and the rows so far; a leaving writes a row for every way out.
+    walk = f"""aggregate(coalesce(events, cast(array() as array<struct<at: double, state_id: bigint>>)),
+        named_struct('state', {number[first]}L, 'since', 0.0D, 'rows', cast(array() as array<{edge}>)),
+        (a, e) -> if(array_contains(graph[a.state], e.state_id),
+            named_struct('state', e.state_id, 'since', e.at, 'rows', concat(a.rows, transform(graph[a.state], b -> named_struct('from_state', a.state, 'to_state', b, 'start', a.since, 'stop', e.at, 'status', if(b = e.state_id, 1L, 0L))))),
+            a),
+        a -> if(last > a.since, concat(a.rows, transform(graph[a.state], b -> named_struct('from_state', a.state, 'to_state', b, 'start', a.since, 'stop', last, 'status', 0L))), a.rows))"""
+    return rows.withColumn("graph", F.expr(graph)).select(*EPISODE, F.explode(F.expr(walk)).alias("r")).select(*EPISODE, "r.*")

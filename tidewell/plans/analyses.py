@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import day_diff, floor_bin, month_key
-from ..operators.cohorts import COHORT, events, first_episode
+from ..functions.running import running_sums
+from ..operators.cohorts import events, first_episode
 from ..sources.cdm import Cdm
+from ..sources.sinks import staged
 from .standard import distribution
 
 
@@ -231,23 +233,21 @@ def case_series(exposure: DataFrame, outcome: DataFrame, cdm: Cdm) -> DataFrame:
 
 
 def conditional_irr(cases: DataFrame, rounds: int = 50) -> dict[str, float] | None:
-    """Incidence rate ratio of a self-controlled case series: binomial Newton over distinct case shapes."""
-    rows = cases.where("exposed_days < days AND exposed_days > 0").groupBy("events", "exposed_events", "days", "exposed_days").agg(F.count(F.lit(1)).alias("w")).groupBy(F.col("events"), "days", "exposed_days").agg(F.sum(F.col("w") * F.col("exposed_events")).alias("x"), F.sum("w").alias("w")).collect()
-    x, n = sum(r["x"] for r in rows), sum(r["w"] * r["events"] for r in rows)
-    if not rows or not x or x == n:
+    """Incidence rate ratio of a self-controlled case series: Newton steps whose terms Spark sums over all cases."""
+    usable = staged(cases.where("exposed_days < days AND exposed_days > 0"))
+    total = usable.agg(F.sum("exposed_events").alias("x"), F.sum("events").alias("n")).first()
+    if not total["n"] or not total["x"] or total["x"] == total["n"]:
         return None
     beta = 0.0
     for _ in range(rounds):
-        score = info = 0.0
-        for r in rows:
-            e = math.exp(beta) * r["exposed_days"]
-            p = e / (e + r["days"] - r["exposed_days"])
-            score += r["x"] - r["w"] * r["events"] * p
-            info += r["w"] * r["events"] * p * (1 - p)
-        beta += score / info
-        if abs(score / info) < 1e-10:
+        e = math.exp(beta) * F.col("exposed_days")
+        p = e / (e + F.col("days") - F.col("exposed_days"))
+        sums = usable.agg(F.sum(F.col("events") * p).alias("mean"), F.sum(F.col("events") * p * (1 - p)).alias("info")).first()
+        step = (total["x"] - sums["mean"]) / sums["info"]
+        beta += step
+        if abs(step) < 1e-10:
             break
-    se = 1 / math.sqrt(info)
+    se = 1 / math.sqrt(sums["info"])
     return {"log_irr": beta, "se": se, "irr": math.exp(beta), "low": math.exp(beta - 1.959964 * se), "high": math.exp(beta + 1.959964 * se)}
 
 
@@ -281,14 +281,27 @@ def percentage_treated(target: DataFrame, drugs: DataFrame, cap: int = 5) -> Dat
 
 
 def auroc(frame: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Rank-sum AUROC with mid-ranks, from counts by score (a window over distinct scores)."""
-    by = frame.groupBy(score).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = by.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("_rank", F.col("_below") + (F.col("n") + 1) / 2)
+    """Rank-sum AUROC with mid-ranks, from counts by score and how many lie below each."""
+    by = running_sums(frame.groupBy(score).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")), score, ["n"])
+    r = by.withColumn("_rank", F.col("before_n") + (F.col("n") + 1) / 2)
     total = r.agg(F.sum(F.col("_rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return total.select(F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auroc"))
 
 
+def auprc(frame: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Area under precision by recall, from the highest score down; trapezoids between distinct scores.
+
+    At recall 0 the precision is that of the highest score.
+    """
+    negated = frame.select((-F.col(score)).alias("s"), F.col(label).alias("label"))
+    by = running_sums(negated.groupBy("s").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")), "s", ["pos", "n"])
+    total = frame.agg(F.sum(label).alias("positives"))
+    after = (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))
+    before = F.when(F.col("before_n") > 0, F.col("before_pos") / F.col("before_n")).otherwise(after)
+    area = by.join(F.broadcast(total), F.lit(True)).agg(F.sum(F.col("pos") / F.col("positives") * (before + after) / 2).alias("a"))
+    return area.select(F.round("a", 6).alias("auprc"))
+
+
 def calibration(frame: DataFrame, bins: int = 10) -> DataFrame:
     """By tenth of predicted risk: persons, mean prediction and observed share."""
     edges = frame.agg(F.percentile("score", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("e"))
@@ -322,7 +335,8 @@ def propensity(target: DataFrame, comparator: DataFrame, ev: DataFrame, top: int
     data = VectorAssembler(inputCols=[f"x{c}" for c in names], outputCol="features").transform(data)
     fitted = LogisticRegression(maxIter=50, tol=1e-9).fit(data).transform(data).withColumn("score", vector_to_array("probability")[1])
     share = both.agg(F.avg("label").alias("q"))
-    logit = F.log(F.col("score") / (1 - F.col("score"))) - F.log(F.col("q") / (1 - F.col("q")))
+    inside = F.greatest(F.least("score", F.lit(1 - 1e-12)), F.lit(1e-12))
+    logit = F.log(inside / (1 - inside)) - F.log(F.col("q") / (1 - F.col("q")))
     return fitted.join(F.broadcast(share), F.lit(True)).select("subject_id", "label", "score", (1 / (1 + F.exp(-logit))).alias("preference"))
 
 
@@ -347,8 +361,3 @@ def orphan_concepts(cdm: Cdm, resolved: DataFrame, domain: str) -> DataFrame:
     sisters = cdm.concept_ancestor.join(near.distinct(), F.col("ancestor_concept_id") == F.col("a"), "left_semi").select(F.col("descendant_concept_id").alias("concept_id")).distinct()
     candidates = sisters.join(resolved, "concept_id", "left_anti")
     return events(cdm, domain).join(candidates, "concept_id", "left_semi").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("person_id").alias("n_subjects"))
-
-
-def episode_keys() -> list[str]:
-    """Columns that name an episode."""
-    return list(COHORT)

@@ -147,6 +147,18 @@ def survival_operators() -> dict[str, Built]:
  hits AS (SELECT s.*, outcome, event_date FROM sets s JOIN kept k ON k.person_id = s.subject_id AND event_date BETWEEN entry AND exit_day) """
     keys = ", ".join(_TEXT.values())
 
+    episode = "subject_id, cohort_start_date, cohort_end_date"
+    states_sql = f"""WITH RECURSIVE {base.removeprefix('WITH ')},
+ graph(a, b) AS (VALUES (1, 2), (2, 3), (3, 2)),
+ moves AS (SELECT *, row_number() OVER (PARTITION BY {episode} ORDER BY moment, st) AS k FROM (SELECT {episode}, st, event_date - entry + (row_number() OVER (PARTITION BY {episode}, event_date ORDER BY st) - 1) / count(*) OVER (PARTITION BY {episode}, event_date) AS moment FROM sets s JOIN (SELECT DISTINCT person_id, outcome + 1 AS st, event_date FROM days) e ON e.person_id = s.subject_id AND event_date BETWEEN entry AND exit_day)),
+ walk AS (SELECT {episode}, CAST(0 AS BIGINT) AS k, 1 AS state, CAST(0 AS DOUBLE) AS since, CAST(NULL AS INT) AS was, CAST(NULL AS DOUBLE) AS was_since FROM sets
+  UNION ALL SELECT w.subject_id, w.cohort_start_date, w.cohort_end_date, m.k, CASE WHEN g.a IS NULL THEN w.state ELSE m.st END, CASE WHEN g.a IS NULL THEN w.since ELSE m.moment END, g.a, CASE WHEN g.a IS NOT NULL THEN w.since END
+   FROM walk w JOIN moves m ON m.subject_id = w.subject_id AND m.cohort_start_date = w.cohort_start_date AND m.cohort_end_date = w.cohort_end_date AND m.k = w.k + 1 LEFT JOIN graph g ON g.a = w.state AND g.b = m.st),
+ ends AS (SELECT {episode}, arg_max(state, k) AS state, arg_max(since, k) AS since FROM walk GROUP BY ALL),
+ out AS (SELECT {episode}, was AS f, b AS t, was_since AS start, since AS stop, CASE WHEN b = state THEN 1 ELSE 0 END AS status FROM walk JOIN graph ON a = was
+  UNION ALL SELECT {episode}, state, b, since, exit_day - entry, 0 FROM ends JOIN sets USING (subject_id, cohort_start_date, cohort_end_date) JOIN graph ON a = state WHERE exit_day - entry > since)
+SELECT subject_id, {keys}, CAST(f AS BIGINT) AS from_state, CAST(t AS BIGINT) AS to_state, start, CAST(stop AS DOUBLE) AS stop, CAST(status AS BIGINT) AS status FROM out"""
+
     def states(cdm: Cdm) -> DataFrame:
         names, edges = survival.transition_graph([("well", "ill"), ("ill", "worse"), ("worse", "ill")])
         e = cohorts.events(cdm, "condition", [2003, 2004, 2005, 2006])
@@ -157,7 +169,7 @@ def survival_operators() -> dict[str, Built]:
         "survival_competing_risk": (lambda cdm: _days_as_text(survival.competing_risk(sets(cdm), ev(cdm), outcomes, risk)), base + f"SELECT s.subject_id, {keys.replace('CAST(c', 'CAST(s.c')}, coalesce(h.outcome, 0) AS status, coalesce(h.event_date, s.exit_day) - s.entry AS time FROM sets s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY subject_id, cohort_start_date, cohort_end_date ORDER BY event_date, outcome) AS k FROM hits) h ON h.subject_id = s.subject_id AND h.cohort_start_date = s.cohort_start_date AND h.cohort_end_date = s.cohort_end_date AND h.k = 1"),
         "survival_recurrent": (lambda cdm: _days_as_text(survival.recurrent(sets(cdm), ev(cdm), risk)), base + f"SELECT h.subject_id, {keys.replace('CAST(c', 'CAST(h.c')}, outcome, event_date - entry AS time, row_number() OVER (PARTITION BY h.subject_id, h.cohort_start_date, h.cohort_end_date ORDER BY event_date, outcome) AS event_number, row_number() OVER (PARTITION BY h.subject_id, h.cohort_start_date, h.cohort_end_date, outcome ORDER BY event_date) AS outcome_event_number FROM hits h"),
         "survival_counting_process": (lambda cdm: _days_as_text(survival.counting_process(sets(cdm), ev(cdm), risk)), base + f", stops AS (SELECT DISTINCT subject_id, cohort_start_date, cohort_end_date, event_date - entry AS stop FROM hits), steps AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY subject_id, cohort_start_date, cohort_end_date ORDER BY stop), -1) AS start FROM stops) SELECT s.subject_id, {keys.replace('CAST(c', 'CAST(s.c')}, start, stop, 1 AS event FROM steps s UNION ALL SELECT * FROM (SELECT s.subject_id, {keys.replace('CAST(c', 'CAST(s.c')}, coalesce((SELECT max(stop) FROM stops x WHERE x.subject_id = s.subject_id AND x.cohort_start_date = s.cohort_start_date AND x.cohort_end_date = s.cohort_end_date), -1) AS start, s.exit_day - s.entry AS stop, 0 AS event FROM sets s) WHERE stop > start"),
-        "survival_multi_state": (states, None),
+        "survival_multi_state": (states, states_sql),
     }
 
 
@@ -229,14 +241,12 @@ def analysis_operators() -> dict[str, Built]:
         "two_arm_era": (lambda cdm: _days_as_text(analyses.two_arms(t[1](cdm), t[2](cdm))[0]), _episodes(f"SELECT a.subject_id, a.cohort_start_date, least(a.cohort_end_date, b.cohort_start_date - 1) AS cohort_end_date FROM {_FIRST[1]} a LEFT JOIN {_FIRST[2]} b ON b.subject_id = a.subject_id WHERE b.cohort_start_date IS NULL OR b.cohort_start_date > a.cohort_start_date")),
         "attrition": (lambda cdm: analyses.attrition(t[1](cdm), cdm, [2004], [2007], (30, 80), 100), f"""WITH j AS (SELECT t.*, t.subject_id IN (SELECT person_id FROM condition_occurrence WHERE condition_concept_id = 2004) AS r, t.subject_id NOT IN (SELECT person_id FROM condition_occurrence WHERE condition_concept_id = 2007) AS x, year(cohort_start_date) - year_of_birth BETWEEN 30 AND 80 AS a, coalesce(cohort_start_date - (SELECT min(observation_period_start_date) FROM observation_period o WHERE o.person_id = t.subject_id) >= 100, false) AS pr FROM {_T[1]} t JOIN person p ON p.person_id = t.subject_id)
 SELECT 0 AS step, 'start' AS rule, count(DISTINCT subject_id) AS persons, count(*) AS exposures FROM j UNION ALL SELECT 1, 'require', count(DISTINCT subject_id), count(*) FROM j WHERE r UNION ALL SELECT 2, 'exclude', count(DISTINCT subject_id), count(*) FROM j WHERE r AND x UNION ALL SELECT 3, 'age', count(DISTINCT subject_id), count(*) FROM j WHERE r AND x AND a UNION ALL SELECT 4, 'prior', count(DISTINCT subject_id), count(*) FROM j WHERE r AND x AND a AND pr"""),
-        "kaplan_meier": (lambda cdm: analyses.kaplan_meier(analyses.survival_arms(t[2](cdm), t[3](cdm), t[1](cdm), 365)), None),
         "outcome_rate_by_month": (lambda cdm: analyses.outcome_rate_by_month(t[1](cdm), cdm), f"SELECT year(e) * 100 + month(e) AS month, count(*) AS n_events, count(DISTINCT subject_id) AS n_subjects FROM (SELECT DISTINCT t.subject_id, t.cohort_start_date AS e FROM {_T[1]} t {in_period}) GROUP BY 1"),
         "case_series": (lambda cdm: analyses.case_series(t[2](cdm), t[1](cdm), cdm), f"""WITH f AS (SELECT t.subject_id, t.cohort_start_date AS s, least(t.cohort_end_date, observation_period_end_date) AS e FROM {_FIRST[2]} t {in_period}),
  o AS (SELECT DISTINCT t.subject_id, t.cohort_start_date AS d FROM {_T[1]} t {in_period})
 SELECT f.subject_id, count(*) AS events, count(*) FILTER (d BETWEEN s AND e) AS exposed_events, (SELECT CAST(sum(observation_period_end_date - observation_period_start_date + 1) AS BIGINT) FROM observation_period p WHERE p.person_id = f.subject_id) AS days, e - s + 1 AS exposed_days FROM f JOIN o ON o.subject_id = f.subject_id GROUP BY f.subject_id, s, e"""),
         "pathways": (lambda cdm: analyses.pathways(t[1](cdm), proc(cdm)), f"SELECT path, count(*) AS n_subjects FROM (SELECT subject_id, string_agg(concept_id, '>' ORDER BY layer) AS path FROM {layered} WHERE layer <= 5 GROUP BY subject_id) GROUP BY path"),
         "percentage_treated": (lambda cdm: analyses.percentage_treated(t[1](cdm), proc(cdm)), f"SELECT layer, concept_id, count(DISTINCT subject_id) AS n_subjects, round(count(DISTINCT subject_id) / (SELECT count(DISTINCT subject_id) FROM {_T[1]}), 6) AS share FROM {layered} WHERE layer <= 5 GROUP BY ALL"),
-        "dechallenge_rechallenge": (lambda cdm: analyses.dechallenge(t[2](cdm), t[1](cdm)), None),
         "orphan_concepts": (lambda cdm: analyses.orphan_concepts(cdm, concepts.ids(cdm, [2001, 2002]), "condition"), f"SELECT concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_subjects FROM {_EV['condition']} WHERE concept_id NOT IN (2001, 2002) AND concept_id IN (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id IN (SELECT ancestor_concept_id FROM concept_ancestor WHERE descendant_concept_id IN (2001, 2002))) GROUP BY ALL"),
     }
 

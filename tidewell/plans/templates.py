@@ -261,7 +261,7 @@ def _others() -> list[Template]:
         return Template(id_, "BLOCKED", build, f"SELECT drug_concept_id, c.concept_name, count(DISTINCT person_id) AS n_persons, count(*) AS n_records, round(avg({value_sql}), 4) AS avg_{label}, round(stddev_samp({value_sql}), 4) AS sd_{label} FROM cost JOIN drug_exposure ON cost_event_id = drug_exposure_id JOIN concept c ON c.concept_id = drug_concept_id WHERE {where} GROUP BY ALL")
 
     def by_site(cdm: Cdm) -> DataFrame:
-        out = cdm.visit_occurrence.join(F.broadcast(cdm.care_site), "care_site_id").groupBy("place_of_service_concept_id").agg(persons(), records().alias("n_visits"))
+        out = cdm.visit_occurrence.join(cdm.care_site, "care_site_id").groupBy("place_of_service_concept_id").agg(persons(), records().alias("n_visits"))
         return named(out, cdm, "place_of_service_concept_id", "place_of_service_name").drop("place_of_service_concept_id")
 
     def by_specialty(cdm: Cdm) -> DataFrame:

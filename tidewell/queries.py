@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import clinical, standard, templates
+from .plans import catalog, clinical, standard, templates
 from .sources.cdm import Cdm, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,6 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         out[t.name] = (_on_cdm(t.build), with_views(t.sql))
     for a in standard.catalog().values():
         out[a.name] = (_on_cdm(a.build), with_views(a.sql))
-    for name, (build, sql) in clinical.catalog().items():
+    for name, (build, sql) in {**clinical.catalog(), **catalog.catalog()}.items():
         out[name] = (_on_cdm(build), with_views(sql) if sql else None)
     return out
