@@ -46,14 +46,19 @@ RULES = (
     Rule("block", "org", "/es/"),
 )
 
-# Globs over the canonical form; a URL no rule fits is blocked where one of them matches.
+# Parts of host names that mark junk, endings of hosts, and paths that are no content.
+JUNK_HOSTS = (
+    "casino", "cheap-pills", "spam-farm", "online-poker", "sportsbet", "slot-machine", "payday-loan", "forex-signal", "binary-options", "viagra", "cialis", "weight-loss-pill", "replica-watch", "free-followers",
+    "link-exchange", "article-spinner", "keygen", "warez", "torrent-download", "free-movies-hd", "doubleclick", "ad-server", "adtracker", "clicktrack", "popunder", "pixel-tracker", "survey-prize", "crypto-doubler",
+)
+JUNK_ENDINGS = (".xxx", ".adult", ".porn", ".sexy", ".bet", ".loan")
+NO_CONTENT = ("/wp-login.php", "/wp-admin/", "/xmlrpc.php", "/phpmyadmin/", "/cgi-bin/", "/cart/checkout", "/user/login", "/account/signin", "/.git/", "/.env", "/calendar/ical/", "/print-preview/", "/tag-cloud/")
+
+# Globs over the canonical form; a URL no rule fits is blocked where one of them matches.  A path that ends with a slash may go on.
 BLOCK_GLOBS = (
-    f"*casino*{MARK}*",
-    f"*cheap-pills*{MARK}*",
-    f"*spam-farm*{MARK}*",
-    f"*.xxx{MARK}*",
-    f"*{MARK}*/wp-login.php",
-    f"*{MARK}*/phpmyadmin/*",
+    *(f"*{part}*{MARK}*" for part in JUNK_HOSTS),
+    *(f"*{ending}{MARK}*" for ending in JUNK_ENDINGS),
+    *(f"*{MARK}*{path}{'*' if path.endswith('/') else ''}" for path in NO_CONTENT),
 )
 
 
