@@ -600,6 +600,21 @@ def test_glob_automaton():
         assert found[k].tolist() == [glob_fits(g, t) for g in globs]
 
 
+def test_glob_automaton_over_many_words():
+    """The registered rules and globs take more than four words of bits, and hundreds of globs many more."""
+    globs = [r.glob for r in url_filter.RULES] + list(url_filter.BLOCK_GLOBS)
+    assert url_filter.GlobAutomaton(globs).words > 4
+    rng = random.Random(11)
+    many = ["".join(rng.choice("abc*") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    automaton = url_filter.GlobAutomaton(many)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(200)]
+    assert automaton.words > 20
+    got = automaton.matches(pa.array(texts))
+    for glob, column in zip(many, got.T):
+        pattern = re.compile(re.sub(r"(\.\*)+", ".*", ".*".join(map(re.escape, glob.split("*")))), re.S)
+        assert column.tolist() == [bool(pattern.fullmatch(t)) for t in texts], glob
+
+
 def test_url_rules(spark):
     urls = [None, "x", "http://A.ORG/es/\x1f?x", "http://x.com?http://z/en/", "https://foo.org/x.com/en/", "a://com/en/", "://xcom/en/", "http://u.example.com/en/7a", "http://a.casino-x.de/", "http://example.net/de/81", "http://b.net/de/8", "http://q.org#/es/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
