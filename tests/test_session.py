@@ -314,6 +314,33 @@ def test_complementary_suppression(spark):
     assert profile.crosstab(df, "a", "b").where("row = 'r0' and col = 'c1'").first()["n_persons"] == 2
 
 
+def test_pooling_and_text_limits(spark, session):
+    policy = Policy(tab=1, band=1, text=5)
+    one, two = (spark.createDataFrame(x, "k string, n_with long, n_persons long") for x in ([("a", 5, 10), ("toolong", 6, 12)], [("a", 1, 30), ("b", 2, 4)]))
+    ratios = {"share": ("n_with", "n_persons")}
+    released = [gate.gate(x.withColumn("share", F.lit(0.0)).withColumn("suppressed", F.lit(False)), "person", ["n_with", "n_persons"], policy, ratios=ratios) for x in (one, two)]
+    assert rows(released[0].select("k")) == [("a",), (None,)]
+    contract = gate.pooling_contract("person", ["n_with", "n_persons"], ratios, ["k"])
+    assert {r["k"]: (r["n_with"], r["n_persons"], r["share"]) for r in gate.pooled(released, contract).collect()} == {"a": (6, 40, 0.15), None: (6, 12, 0.5), "b": (2, 4, 0.5)}
+    assert session.pooling_contract("incidence.rate") == {"n_with_outcome": "sum", "n_persons": "sum", "proportion": "n_with_outcome / n_persons"}
+
+
+def test_ties_and_reference(spark):
+    sets = spark.createDataFrame([(1, D(2020, 1, 1), D(2020, 3, 1), D(2020, 1, 1), D(2020, 3, 1))], "subject_id long, cohort_start_date date, cohort_end_date date, entry date, exit date")
+    ev = spark.createDataFrame([(1, 8, D(2020, 1, 5)), (1, 9, D(2020, 1, 5)), (1, 8, D(2020, 2, 5))], "person_id long, outcome long, event_date date")
+    risk = survival.Risk()
+    assert [tuple(r) for r in survival.competing_risk(sets, ev, [9, 8], risk).select("status", "time").collect()] == [(1, 4)]
+    assert rows(survival.competing_risk(sets, ev, [9, 8], risk, "all").select("status", "time")) == [(1, 4), (2, 4)]
+    with pytest.raises(ValueError):
+        survival.competing_risk(sets, ev, [9, 8], risk, "error")
+    states, edges = survival.transition_graph([("a", "b"), ("b", "a")])
+    assert rows(survival.transition_reference(spark, states, edges).select("from_name", "to_name")) == [("a", "b"), ("b", "a")]
+    walked = survival.multi_state(sets, spark.createDataFrame([(1, "b", D(2020, 1, 11)), (1, "a", D(2020, 1, 11)), (1, "b", D(2020, 2, 1))], "person_id long, state string, event_date date"), states, edges, "a")
+    # On one day a comes before b, by half a day: a can't follow a, so b is entered then, and left for nothing.
+    assert [(r["from_state"], r["to_state"], r["start"], r["stop"], r["status"]) for r in walked.orderBy("start").collect()] == [(1, 2, 0.0, 10.5, 1), (2, 1, 10.5, 60.0, 0)]
+    assert dict(survival.exact_times(walked).dtypes)["stop"] == "decimal(20,9)"
+
+
 def test_transition_graph():
     assert survival.transition_graph([("a", "b"), ("b", "c"), ("a", "c")]) == (["a", "b", "c"], [(1, 2), (1, 3), (2, 3)])
     with pytest.raises(ValueError):

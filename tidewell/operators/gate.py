@@ -20,6 +20,7 @@ class Policy:
     band: int = 5
     age_band: int = 5
     date_days: int = 30
+    text: int = 80
 
 
 class DisclosureError(ValueError):
@@ -52,9 +53,11 @@ def gate(df: DataFrame, unit: str, counts: list[str], policy: Policy = Policy(),
     persons, on which rows are dropped first.  Distribution results lose columns
     named like a minimum or maximum, and all their summary columns are nulled
     where any basis count is below the distribution threshold.  A ratio whose
-    banded numerator is 0 becomes null.
+    banded numerator is 0 becomes null.  Source values and flags of suppression
+    go; texts over the policy's length are null.
     """
-    df = df.drop(*[c for c in df.columns if c.endswith(("_source_value", "_source_concept_id"))])
+    df = df.drop(*[c for c in df.columns if c.endswith(("_source_value", "_source_concept_id")) or c == "suppressed"])
+    df = df.withColumns({c: F.when(F.char_length(c) <= policy.text, F.col(c)) for c, t in df.dtypes if t == "string"})
     if unit == "record":
         if companion is None and strict:
             raise DisclosureError("record counts need person counts")
@@ -74,6 +77,26 @@ def gate(df: DataFrame, unit: str, counts: list[str], policy: Policy = Policy(),
     return df
 
 
+def pooling_contract(unit: str, counts: list[str], ratios: dict[str, tuple[str, str]] | None = None, values: list[str] | None = None) -> dict[str, str]:
+    """How each column of a released result combines over sites: counts add up, ratios are made anew from them, other values stay apart."""
+    out = {c: "sum" for c in counts} | {c: f"{top} / {bottom}" for c, (top, bottom) in (ratios or {}).items()}
+    return out | {c: "keep by site" if unit == "dist" else "key" for c in values or [] if c not in out}
+
+
+def pooled(frames: list[DataFrame], contract: dict[str, str]) -> DataFrame:
+    """Released results of several sites in one, as their contract says; what a site has suppressed counts as nothing."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    keys = [c for c in out.columns if contract[c] == "key"]
+    made = out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in out.columns if contract[c] == "sum"])
+    for c, how in contract.items():
+        if " / " in how:
+            top, bottom = how.split(" / ")
+            made = made.withColumn(c, F.when((F.col(top) > 0) & (F.col(bottom) > 0), F.col(top) / F.col(bottom)))
+    return made.select(*[c for c in out.columns if contract[c] != "keep by site"])
+
+
 def banded_top_n(df: DataFrame, n: int, by: str, keys: list[str], policy: Policy = Policy()) -> DataFrame:
     """The n rows of highest banded support, ties by public keys."""
     return df.orderBy(F.desc(band(F.col(by), policy.band)), *keys).limit(n)

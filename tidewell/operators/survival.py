@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import day_diff
@@ -62,12 +62,21 @@ def survival(sets: DataFrame, events: DataFrame, outcomes: Sequence[int], risk:
     return out.select(*EPISODE, "outcome", F.col("event_date").isNotNull().cast("long").alias("status"), day_diff(F.coalesce("event_date", "exit"), F.col("entry")).alias("time"))
 
 
-def competing_risk(sets: DataFrame, events: DataFrame, outcomes: Sequence[int], risk: Risk) -> DataFrame:
-    """The first event over all outcomes; on one day the outcome listed first; 0 when censored."""
+def competing_risk(sets: DataFrame, events: DataFrame, outcomes: Sequence[int], risk: Risk, ties: str = "priority") -> DataFrame:
+    """The first event over all outcomes; 0 when censored.
+
+    Of outcomes on one day: priority takes the one listed first, all gives a row
+    each.
+    """
+    if ties not in ("priority", "all"):
+        raise ValueError(f"ties can't be dealt with by {ties!r}")
     place = F.array_position(F.array(*[F.lit(int(o)).cast("long") for o in outcomes]), F.col("outcome"))
-    hits = _outcome_events(sets, events, risk).groupBy(*EPISODE).agg(F.min(F.struct("event_date", place.alias("place"))).alias("e"))
+    found = _outcome_events(sets, events, risk).select(*EPISODE, "event_date", place.alias("place"))
+    hits = found.groupBy(*EPISODE).agg(F.min(F.struct("event_date", "place")).alias("e")).select(*EPISODE, "e.*")
+    if ties == "all":
+        hits = found.distinct().join(hits.drop("place"), [*EPISODE, "event_date"])
     out = sets.join(hits, EPISODE, "left")
-    return out.select(*EPISODE, F.coalesce(F.col("e.place"), F.lit(0)).cast("long").alias("status"), day_diff(F.coalesce(F.col("e.event_date"), F.col("exit")), F.col("entry")).alias("time"))
+    return out.select(*EPISODE, F.coalesce("place", F.lit(0)).cast("long").alias("status"), day_diff(F.coalesce("event_date", "exit"), F.col("entry")).alias("time"))
 
 
 def recurrent(sets: DataFrame, events: DataFrame, risk: Risk) -> DataFrame:
@@ -100,6 +109,16 @@ def transition_graph(edges: Sequence[tuple[str, str]]) -> tuple[list[str], list[
     return states, sorted({(number[a], number[b]) for a, b in edges})
 
 
+def transition_reference(spark: SparkSession, states: Sequence[str], edges: Sequence[tuple[int, int]]) -> DataFrame:
+    """The graph as a table: number and names of each edge."""
+    return spark.createDataFrame([(k, a, states[a - 1], b, states[b - 1]) for k, (a, b) in enumerate(edges, 1)], "transition long, from_state long, from_name string, to_state long, to_name string")
+
+
+def exact_times(rows: DataFrame) -> DataFrame:
+    """Times of a multi-state output as decimals of 9 places, as they are exchanged."""
+    return rows.withColumns({c: F.col(c).cast("decimal(20,9)") for c in ("start", "stop")})
+
+
 def multi_state(sets: DataFrame, events: DataFrame, states: Sequence[str], edges: Sequence[tuple[int, int]], first: str) -> DataFrame:
     """One row for each outgoing edge of each state an episode visits; status 1 on the edge taken.
 

@@ -317,29 +317,44 @@ def thresholds(frame: DataFrame) -> DataFrame:
     return e.groupBy("threshold").agg(F.count(F.when(positive & (F.col("label") == 1), 1)).alias("tp"), F.count(F.when(positive & (F.col("label") == 0), 1)).alias("fp"), F.count(F.when(~positive & (F.col("label") == 1), 1)).alias("fn"), F.count(F.when(~positive & (F.col("label") == 0), 1)).alias("tn"))
 
 
-def propensity(target: DataFrame, comparator: DataFrame, ev: DataFrame, top: int = 20) -> DataFrame:
-    """(subject_id, label, score, preference): logistic regression on the most common prior concepts.
+def fitted_scores(labelled: DataFrame, prior: DataFrame, top: int) -> DataFrame:
+    """(subject_id, label, score): logistic regression of label on having each of the top most common concepts of prior.
 
-    The design is sparse in rows and bounded in columns; the preference score
-    shifts the logit by the share of the target.
+    labelled has subject_id and label (0 or 1), prior subject_id and concept_id;
+    the design is sparse in rows and bounded in columns.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    both = first_episode(target).withColumn("label", F.lit(1.0)).unionByName(first_episode(comparator).withColumn("label", F.lit(0.0)))
-    prior = ev.select(F.col("person_id").alias("subject_id"), "concept_id", "event_date").join(both, "subject_id").where("event_date < cohort_start_date AND concept_id <> 0")
     names = [r["concept_id"] for r in prior.groupBy("concept_id").agg(F.countDistinct("subject_id").alias("n")).orderBy(F.desc("n"), "concept_id").limit(top).collect()]
-    x = prior.groupBy("subject_id", "label").agg(*[F.max(F.when(F.col("concept_id") == c, 1.0).otherwise(0.0)).alias(f"x{c}") for c in names])
-    data = both.select("subject_id", "label").join(x, ["subject_id", "label"], "left").fillna(0.0)
+    x = prior.where(F.col("concept_id").isin(names)).groupBy("subject_id").agg(*[F.max(F.when(F.col("concept_id") == c, 1.0).otherwise(0.0)).alias(f"x{c}") for c in names])
+    data = labelled.select("subject_id", F.col("label").cast("double").alias("label")).join(x, "subject_id", "left").fillna(0.0)
     data = VectorAssembler(inputCols=[f"x{c}" for c in names], outputCol="features").transform(data)
-    fitted = LogisticRegression(maxIter=50, tol=1e-9).fit(data).transform(data).withColumn("score", vector_to_array("probability")[1])
+    return LogisticRegression(maxIter=50, tol=1e-9).fit(data).transform(data).select("subject_id", "label", vector_to_array("probability")[1].alias("score"))
+
+
+def propensity(target: DataFrame, comparator: DataFrame, ev: DataFrame, top: int = 20) -> DataFrame:
+    """(subject_id, label, score, preference): the chance of being in the target, by the most common prior concepts.
+
+    The preference score shifts the logit by the share of the target.  Someone
+    in both arms counts as of the target.
+    """
+    first = first_episode(target)
+    both = first.withColumn("label", F.lit(1.0)).unionByName(first_episode(comparator).join(first.select("subject_id"), "subject_id", "left_anti").withColumn("label", F.lit(0.0)))
+    prior = ev.select(F.col("person_id").alias("subject_id"), "concept_id", "event_date").join(both, "subject_id").where("event_date < cohort_start_date AND concept_id <> 0")
+    fitted = fitted_scores(both, prior.select("subject_id", "concept_id"), top)
     share = both.agg(F.avg("label").alias("q"))
     inside = F.greatest(F.least("score", F.lit(1 - 1e-12)), F.lit(1e-12))
     logit = F.log(inside / (1 - inside)) - F.log(F.col("q") / (1 - F.col("q")))
     return fitted.join(F.broadcast(share), F.lit(True)).select("subject_id", "label", "score", (1 / (1 + F.exp(-logit))).alias("preference"))
 
 
+def equipoise(scores: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """By arm: persons, and the share of them whose preference lies between low and high."""
+    return scores.groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n_persons"), F.round(F.avg(F.col("preference").between(low, high).cast("double")), 6).alias("equipoise"))
+
+
 def dechallenge(target: DataFrame, outcome: DataFrame, window: int = 30) -> DataFrame:
     """Nested counts of persons: with an outcome in an episode, one that ended after it, a later episode, an outcome in that."""
     e = target.select("subject_id", F.col("cohort_start_date").alias("s"), F.col("cohort_end_date").alias("e")).distinct()

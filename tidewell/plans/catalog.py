@@ -203,6 +203,7 @@ def analysis_queries() -> dict[str, Built]:
         "plp_attrition": (lambda cdm: population.prediction_attrition(t[2](cdm), t[1](cdm), cdm), " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS step, '{n}' AS rule, count(*) AS persons, CAST(coalesce(sum(label), 0) AS BIGINT) AS outcomes FROM {label(c, 1, 365)}" for k, (n, c) in enumerate((("target", _FIRST[2]), ("observed", whole), ("no_prior_outcome", clean))))),
         "plp_covariates": (lambda cdm: population.prediction_covariates(t[2](cdm), t[1](cdm), cond(cdm), cdm), f"SELECT concept_id, CAST(label AS BIGINT) AS label, count(DISTINCT subject_id) AS n_subjects, round(count(DISTINCT subject_id) / any_value(size), 6) AS share FROM (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM {label(_FIRST[2], 0, 100000)}) f JOIN {COND} e ON e.person_id = f.subject_id WHERE event_date <= cohort_start_date AND concept_id <> 0 GROUP BY ALL"),
         "plp_diagnostic": (lambda cdm: population.prediction_diagnostic(t[2](cdm), t[1](cdm), cond(cdm), cdm), f"SELECT persons, outcomes, variables, CASE WHEN persons > 0 THEN round(outcomes / persons, 6) END AS incidence, CASE WHEN variables > 0 THEN round(outcomes / variables, 6) END AS events_per_variable FROM (SELECT count(*) AS persons, CAST(coalesce(sum(label), 0) AS BIGINT) AS outcomes, (SELECT count(DISTINCT concept_id) FROM {whole} w JOIN {COND} e ON e.person_id = w.subject_id WHERE concept_id <> 0 AND event_date - cohort_start_date BETWEEN -365 AND 0) AS variables FROM {label(whole, 1, 365)})"),
+        "plp_model": (lambda cdm: _fit(cdm, {"mean": (r := population.prediction_model(t[2](cdm), t[1](cdm), cond(cdm), cdm).agg(F.avg("score").alias("m"), F.avg("label").alias("l")).first())["m"], "label": r["l"]}, ("mean", "label")), f"SELECT round(avg(label), 5) AS mean, round(avg(label), 5) AS label FROM {label(whole, 1, 365)}"),
         "plp_auroc": (lambda cdm: analyses.auroc(_frame(cdm)), f"SELECT round((sum(CASE WHEN label = 1 THEN r END) - p * (p + 1) / 2) / (p * (n - p)), 6) AS auroc FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r, sum(label) OVER () AS p, count(*) OVER () AS n FROM {_FRAME}) GROUP BY p, n"),
         "plp_auprc": (lambda cdm: analyses.auprc(_frame(cdm)), f"SELECT round(sum(k / total * (coalesce(lag, precision) + precision) / 2), 6) AS auprc FROM (SELECT k, total, precision, lag(precision) OVER (ORDER BY score DESC) AS lag FROM (SELECT score, k, sum(k) OVER () AS total, sum(k) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS precision FROM (SELECT score, sum(label) AS k, count(*) AS n FROM {_FRAME} GROUP BY 1)))"),
         "plp_calibration": (lambda cdm: analyses.calibration(_frame(cdm)), f"SELECT CAST(b AS BIGINT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM (SELECT score, label, len(list_filter(q, lambda x: x < score)) AS b FROM {_FRAME}, (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM {_FRAME})) GROUP BY 1"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import day_diff, floor_bin, month_key
 from ..operators.cohorts import events, first_episode
 from ..sources.cdm import Cdm
-from .analyses import covariate_prevalence, outcome_substrate, standardised_difference
+from .analyses import covariate_prevalence, fitted_scores, outcome_substrate, standardised_difference
 from .standard import distribution
 
 Z = 1.959964
@@ -148,6 +148,13 @@ def prediction_diagnostic(target: DataFrame, outcome: DataFrame, ev: DataFrame,
     return out.select("persons", "outcomes", "variables", F.round(F.when(F.col("persons") > 0, F.col("outcomes") / F.col("persons")), 6).alias("incidence"), F.round(F.when(F.col("variables") > 0, F.col("outcomes") / F.col("variables")), 6).alias("events_per_variable"))
 
 
+def prediction_model(target: DataFrame, outcome: DataFrame, ev: DataFrame, cdm: Cdm, look_back: int = 365, start: int = 1, end: int = 365, top: int = 20) -> DataFrame:
+    """(subject_id, label, score): predicted risk of the outcome, from the most common concepts of the look-back."""
+    whole = _labelled(eligible(target, cdm, look_back, start, end), outcome, start, end)
+    prior = ev.select(F.col("person_id").alias("subject_id"), "concept_id", "event_date").join(whole, "subject_id").where((F.col("concept_id") != 0) & F.datediff("event_date", "cohort_start_date").between(-look_back, 0))
+    return fitted_scores(whole, prior.select("subject_id", "concept_id"), top)
+
+
 # Pathways and eras.
 
 

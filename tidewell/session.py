@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cohorts, concepts, features, filters, noise, profile, tokens, verbs
-from .operators.gate import DisclosureError, Policy, assert_min_persons, band, gate, safe_levels
+from .operators.gate import DisclosureError, Policy, assert_min_persons, band, gate, pooling_contract, safe_levels
 from .plans import analyses, outputs, population, scores, standard, templates
 from .plans.extract import SpecError, extract
 from .plans.outputs import Plan
@@ -440,6 +440,11 @@ class Session:
         e = self._entry(name)
         return {"name": e.name, "unit": e.unit, "scoped": e.scoped, "counts": list(e.counts), "parameters": dict(e.parameters), "combine": e.combine}
 
+    def pooling_contract(self, name: str) -> dict[str, str]:
+        """How the counts and ratios of an analysis combine over sites."""
+        e = self._entry(name)
+        return pooling_contract(e.unit, [*e.counts, *([e.companion] if e.companion else [])], dict(e.ratios))
+
     def _entry(self, name: str) -> Entry:
         if name not in self.registry:
             raise SpecError(f"no analysis {name}")
