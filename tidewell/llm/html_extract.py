@@ -50,7 +50,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     out = [tag]
     for m in _ATTRIBUTE.finditer(attributes):
         out += ["." + p for p in _PART.findall((m[2] or m[3] or m[4] or "").lower())]
-    return tuple(out[:12])
+    return tuple(out)
 
 
 def blocks_of(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
