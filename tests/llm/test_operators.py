@@ -515,6 +515,13 @@ def test_html_given_pages(spark):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+def test_html_telling_word_after_many_classes():
+    """A mark counts wherever it stands among the classes of a tag."""
+    many = " ".join(f"col-md-{k}" for k in range(9))
+    (path, *_), *_ = html_extract.blocks_of(f'<body><div class="{many} sidebar"><p>text</p></div></body>')
+    assert any(".sidebar" in marks for marks in path)
+
+
 def test_html_awkward(spark):
     pages = [(1, None), (2, ""), (3, "<"), (4, "<article><p>A &amp; B<!-- x --> <b>c</b><br>d<p>e</article>"), (4, "<article><p>A &amp; B<!-- x --> <b>c</b><br>d<p>e</article>"), (5, "<script>" + "x" * 100_000), (6, "<div>" * 3000 + "deep")]
     rows = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, html string").withColumn("text", F.lit("clash"))).collect()
