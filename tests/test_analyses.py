@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.running import running_sums, values_at
+from tidewell.functions.running import running_sums, summary, values_at
 from tidewell.plans import analyses, population
 
 
@@ -89,6 +89,21 @@ def test_running_sums_and_ranks(spark):
     assert all(r["before_n"] == sum(v < r["x"] for v in values) for r in sums.collect())
 
 
+def test_summary_by_group(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *(rng.gauss(0, 10) for _ in range(3))])) for _ in range(900)] + [("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    got = {r["g"]: r for r in summary(df, "x", [0.1, 0.5, 0.9], ["g"]).collect()}
+    for g in ("a", "b", None, "one"):
+        x = np.array([v for k, v in rows if k == g and v is not None])
+        assert got[g]["n"] == len(x) and math.isclose(got[g]["mean"], x.mean(), rel_tol=1e-9)
+        assert np.allclose([got[g][f"q{k}"] for k in range(3)], np.quantile(x, [0.1, 0.5, 0.9])) and (len(x) == 1) == (got[g]["sd"] is None)
+        assert len(x) == 1 or math.isclose(got[g]["sd"], x.std(ddof=1), rel_tol=1e-9)
+    assert summary(df.limit(0), "x", [0.5]).first()["n"] == 0
+
+
 @pytest.mark.parametrize("least, want", [
     (3, {(1, "a", 12), (1, "b", 4), (1, "Other", 3), (2, "a>b", 7), (2, "a>Other", 4)}),
     (5, {(1, "a", 12), (1, "Other", 7), (2, "a>b", 7)}),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import day_diff, floor_bin, month_key
-from ..functions.running import running_sums
+from ..functions.running import running_sums, summary
 from ..operators.cohorts import events, first_episode
 from ..sources.cdm import Cdm
 from ..sources.sinks import staged
@@ -304,7 +304,7 @@ def auprc(frame: DataFrame, score: str = "score", label: str = "label") -> DataF
 
 def calibration(frame: DataFrame, bins: int = 10) -> DataFrame:
     """By tenth of predicted risk: persons, mean prediction and observed share."""
-    edges = frame.agg(F.percentile("score", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("e"))
+    edges = summary(frame, "score", [k / bins for k in range(1, bins)]).select(F.array(*[f"q{k}" for k in range(bins - 1)]).alias("e"))
     bin_ = F.size(F.filter("e", lambda x: x < F.col("score"))).cast("long")
     return frame.join(F.broadcast(edges), F.lit(True)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_predicted"), F.round(F.avg("label"), 6).alias("observed"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import day_diff, floor_bin, month_key
+from ..functions.running import summary
 from ..sources.cdm import Cdm
 from .templates import DOMAINS
 
@@ -39,9 +40,8 @@ class Analysis:
 
 def distribution(df: DataFrame, value: str, *strata: str) -> DataFrame:
     """count, mean, sample standard deviation and type-7 quantiles of a column, by strata."""
-    quantiles = F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, QUANTILES.values())))
-    out = df.where(F.col(value).isNotNull()).groupBy(*strata).agg(F.count(value).alias("count_value"), F.round(F.avg(value), 6).alias("avg_value"), F.round(F.stddev_samp(value), 6).alias("stdev_value"), quantiles.alias("_q"))
-    return out.select(*strata, "count_value", "avg_value", "stdev_value", *[F.round(F.col("_q")[k], 6).alias(n) for k, n in enumerate(QUANTILES)])
+    found = summary(df, value, list(QUANTILES.values()), strata)
+    return found.select(*strata, F.col("n").alias("count_value"), F.round("mean", 6).alias("avg_value"), F.round("sd", 6).alias("stdev_value"), *[F.round(f"q{k}", 6).alias(n) for k, n in enumerate(QUANTILES)])
 
 
 def distribution_sql(source: str, value: str, *strata: str) -> str:
