@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import slices
+from .textcore import slices, small_batches
 
 LEAF = 64
 #: The rank of a pair that is never merged.
@@ -351,7 +351,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", add: tuple[str, .
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array([r[k] for r in rows], type=_ARROW[_ADDED[k]]) for k in add], [*names, *add])
 
     is_long = F.coalesce(F.char_length("__bpe_text") > long_text, F.lit(False))
-    short = wide.filter(~is_long).mapInArrow(encode, schema)
+    short = small_batches(wide).filter(~is_long).mapInArrow(encode, schema)
     return short.unionByName(_encode_long(wide.filter(is_long), path, names, add, schema, long_text))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import mix64, shingle_hashes, slices, whole_hash, words_of
+from .textcore import mix64, shingle_hashes, slices, small_batches, whole_hash, words_of
 
 BLOCKS = 8
 RADIUS = 23
@@ -205,7 +205,7 @@ def find_leaks(
     Items go to the executors in blocks of about block_chars characters, each
     block a pass over the documents, so that no more than that is broadcast.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = f"`{key}` long, `{item_key}` long, similarity double, first_word long, n_words long"
     out = None
     for index in _indexes(items, item_key, item_text, size, block_chars):
@@ -260,7 +260,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     texts of any length are read whole.  All blocks of items are met in one
     pass over docs, without a shuffle.
     """
-    out = docs.withColumn("__leak_text", F.col(f"`{text}`").cast("string"))
+    out = small_batches(docs).withColumn("__leak_text", F.col(f"`{text}`").cast("string"))
     for index in _indexes(items, item_key, item_text, size, block_chars):
         out = out.mapInArrow(_unleaked(index, least), out.schema)
     return out.drop("__leak_text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import slices, words_of
+from .textcore import slices, small_batches, words_of
 
 PATH_SIZE, WORD_SIZE, HIDDEN = 128, 16, 16
 FEATURES = PATH_SIZE + WORD_SIZE + 4
@@ -405,4 +405,4 @@ def extract_text(df: DataFrame, html: str = "html", keep_html: bool = True, labe
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "text string", "n_chars long"])
-    return wide.mapInArrow(run, schema)
+    return small_batches(wide).mapInArrow(run, schema)

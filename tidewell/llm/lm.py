@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import NgramTrie, dequantise
-from .textcore import mix64, saved, slices, words_of
+from .textcore import mix64, saved, slices, small_batches, words_of
 
 MU = 200.0
 BATCH_CHARS = 8 << 20
@@ -280,7 +280,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", held_out
     table gives an empty one; without a training row every token is unseen.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), (F.crc32(F.col(f"`{key}`").cast("string")) % held_out == 0).alias("held"))
-    batches = saved(rows.mapInArrow(_to_batches, _BATCHES))
+    batches = saved(small_batches(rows).mapInArrow(_to_batches, _BATCHES))
     sums = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_train_docs", "n_tokens", "n_words")]).first()
     word_shards, shards = -(-sums["n_words"] // WORDS_PER_SHARD) or 1, -(-sums["n_tokens"] // BIGRAMS_PER_SHARD) or 1
     slices_ = batches.select("batch", "role", "lengths", "words", "tokens").mapInArrow(_word_counts(word_shards), "shard int, batch long, a binary, b binary")

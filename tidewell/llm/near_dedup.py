@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import discard, mix64, saved, shingle_sets, slices, words_of
+from .textcore import discard, mix64, saved, shingle_sets, slices, small_batches, words_of
 
 SKETCH = 64
 #: Probability allowed for each side of a pair that its keys end before the first shared value.
@@ -371,7 +371,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     empty table gives an empty one.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sketches = saved(rows.mapInArrow(_sketch(size), _SKETCHES))
+    sketches = saved(small_batches(rows).mapInArrow(_sketch(size), _SKETCHES))
     live = sketches.where("n_shingles > 0 and id is not null")
     first = saved(live.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     member = live.join(first, ["d1", "d2"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import slices
+from .textcore import slices, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "account")
@@ -209,4 +209,4 @@ def scan_pii(df: DataFrame, text: str = "text", keep_text: bool = True, add: tup
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *add])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), *(f"`{k}` {_ADDED[k]}" for k in add)])
-    return wide.mapInArrow(scan, schema)
+    return small_batches(wide).mapInArrow(scan, schema)

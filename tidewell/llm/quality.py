@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import slices, text_buffer
+from .textcore import slices, small_batches, text_buffer
 
 LEVEL = 3
 BLOCK = 256
@@ -170,4 +170,4 @@ def score_texts(df: DataFrame, model: CompressionModel, text: str = "text", keep
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "score double", "predicted int"])
-    return wide.mapInArrow(score, schema)
+    return small_batches(wide).mapInArrow(score, schema)

@@ -158,6 +158,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     pa.default_memory_pool().release_unused()  # workers live on through other stages
 
 
+#: Bytes of an Arrow batch, of which Spark and a worker hold several each.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session was set to Arrow batches of BATCH_BYTES, where it has Spark's own limit: rows of text are long."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset and there is one machine, as in tests, a temporary one is set."""
     context = spark.sparkContext._jsc.sc()
