@@ -12,7 +12,8 @@ from tidewell.operators.gate import DisclosureError, Policy
 from tidewell.plans import outputs, scores
 from tidewell.plans.extract import SpecError, check_bins, classify, columns_of, extract, generic_dates
 from tidewell.plans.outputs import Plan
-from tidewell.session import Entry, Session
+from tidewell.plans.registry import Entry
+from tidewell.session import Session
 from tidewell.sources import results, sinks
 from tidewell.sources.blueprint import Blueprint
 from tidewell.sources.cdm import Cdm
@@ -212,12 +213,12 @@ def test_session_vocabulary(session):
 
 
 def test_session_analyses(session):
-    assert {"covariates.prevalence", "incidence.rate"} <= set(session.analysis_list()) and session.analysis_get("incidence.rate")["unit"] == "person"
-    assert rows(session.analysis_run("cohort.count", 1)) == [(15, 15)]
-    assert session.analysis_run("covariates.prevalence", 1, start=-1000, end=1000, top=1).first()["concept_id"] == 201820
-    session.analysis_run_assign("kept", "cohort.demographics", cohort=1)
+    assert {"fe.prevalence", "incidence.rate"} <= set(session.analysis_list()) and session.analysis_get("incidence.rate")["unit"] == "person"
+    assert rows(session.analysis_run("cohortdx.cohort_count", 1)) == [(15, 15)]
+    assert session.analysis_run("fe.prevalence", 1, start=-1000, end=1000, top=1).first()["concept_id"] == 201820
+    session.analysis_run_assign("kept", "fe.demographics", cohort=1)
     assert session.frames["kept"].where("kind = 'gender'").count() == 2
-    for wrong in (lambda: session.analysis_run("nothing"), lambda: session.analysis_run("cohort.count", 1, size=3), lambda: session.analysis_run("cohort.count", 3)):
+    for wrong in (lambda: session.analysis_run("nothing"), lambda: session.analysis_run("cohortdx.cohort_count", 1, size=3), lambda: session.analysis_run("cohortdx.cohort_count", 3)):
         with pytest.raises((SpecError, DisclosureError)):
             wrong()
     mine = Entry("mine.count", "person", lambda s, c, p: c.groupBy().agg(F.countDistinct("subject_id").alias("n_persons")).withColumn("ids", F.lit(1)), ("n_persons",), columns=("n_persons",))
@@ -233,6 +234,21 @@ def test_session_analyses(session):
     assert rows(session.score("chads2", 2050).select("score", "n_persons")) == [(0.0, 5), (1.0, 5), (2.0, 0)]
 
 
+def test_every_registered_analysis_is_gated(spark):
+    """Each runs on the views under its own defaults, and no count that leaves is small or unbanded."""
+    views = Session(spark, Cdm(spark, "/root/testdata/sf0.001"), secret=b"test")
+    for name in views.analysis_list():
+        e = views.registry[name]
+        if name.startswith(("cd.", "es.")) or name == "mine.count":
+            continue
+        found = views.analysis_run(name, 2).collect()
+        for row in found:
+            assert all(row[c] % 5 == 0 for c in (*e.counts, *([e.companion] if e.companion else []))), (name, row)
+        assert name not in ("fe.demographics", "cm.attrition", "cohortdx.time_series", "plp.performance") or found
+    with pytest.raises(DisclosureError):
+        views.analysis_run("fe.demographics", cohort=99)
+
+
 def test_precomputed_results(session):
     assert all(session.achilles_status().values()) and session.achilles_analyses().count() == 1
     assert rows(session.achilles_results([2]).select("stratum_1", "count_value")) == [("8507", 15)] and session.achilles_results([2], ["8532"]).count() == 0

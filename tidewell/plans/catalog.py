@@ -105,7 +105,7 @@ def release_queries() -> dict[str, Built]:
         "session_locate": (lambda cdm: _open(cdm).locate_concept([2003, 5001, 8532]), " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c} AS concept_id, {_band('count(*)')} AS n_records, {_band('count(DISTINCT person_id)')} AS n_persons FROM {t} WHERE {c} IN (2003, 5001, 8532) GROUP BY {c} HAVING count(DISTINCT person_id) >= 3" for t, c in (("person", "gender_concept_id"), ("condition_occurrence", "condition_concept_id"), ("procedure_occurrence", "procedure_concept_id"), ("death", "cause_concept_id"), ("condition_era", "condition_concept_id")))),
         "session_cohort_list": (lambda cdm: _open(cdm).cohort_list(), f"SELECT cohort_definition_id, {_band('count(*)')} AS entries, {_band('count(DISTINCT subject_id)')} AS subjects FROM cohort GROUP BY 1 HAVING count(DISTINCT subject_id) >= 3"),
         "session_template": (lambda cdm: _open(cdm).query_exec("visit.type_summary"), f"SELECT visit_concept_id AS concept_id, concept_name, {_band('n_persons')} AS n_persons, {_band('n_records')} AS n_records FROM (SELECT visit_concept_id, count(DISTINCT person_id) AS n_persons, count(*) AS n_records FROM visit_occurrence GROUP BY 1) JOIN concept ON concept_id = visit_concept_id WHERE n_persons >= 3 AND n_records >= 3"),
-        "session_analysis": (lambda cdm: _open(cdm).analysis_run("covariates.prevalence", 1, start=-365, end=-1), f"SELECT concept_id, {_band('count(DISTINCT subject_id)')} AS n_subjects FROM {_T[1]} t JOIN {COND} e ON e.person_id = t.subject_id WHERE event_date - cohort_start_date BETWEEN -365 AND -1 AND concept_id <> 0 GROUP BY 1 HAVING count(DISTINCT subject_id) >= 3"),
+        "session_analysis": (lambda cdm: _open(cdm).analysis_run("fe.prevalence", 1, start=-365, end=-1), f"SELECT concept_id, {_band('count(DISTINCT subject_id)')} AS n_subjects FROM {_T[1]} t JOIN {COND} e ON e.person_id = t.subject_id WHERE event_date - cohort_start_date BETWEEN -365 AND -1 AND concept_id <> 0 GROUP BY 1 HAVING count(DISTINCT subject_id) >= 3"),
         "session_incidence": (lambda cdm: _open(cdm).analysis_run("incidence.rate", 2).withColumn("proportion", F.round("proportion", 6)), f"SELECT {_band('n')} AS n_persons, {_band('m')} AS n_with_outcome, CASE WHEN {_band('m')} > 0 THEN round({_band('m')} / {_band('n')}, 6) END AS proportion FROM (SELECT count(*) AS n, count(*) FILTER (k > 0) AS m FROM (SELECT a.subject_id, count(o.cohort_start_date) AS k FROM {_ARM.format(first=_FIRST[2])} a LEFT JOIN {_T[1]} o ON o.subject_id = a.subject_id AND o.cohort_start_date BETWEEN a.cohort_start_date AND risk_end WHERE risk_end >= a.cohort_start_date GROUP BY a.subject_id)) WHERE n >= 3 AND m >= 3"),
         "session_standard": (lambda cdm: _open(cdm).standard_analysis(400), f"SELECT condition_concept_id AS stratum_1, {_band('count(DISTINCT person_id)')} AS count_value FROM condition_occurrence GROUP BY 1 HAVING count(DISTINCT person_id) >= 3"),
         "session_score": (lambda cdm: _open(cdm).score("chads2", 1995), f"SELECT score, {_band('count(*)')} AS n_persons FROM (SELECT CASE WHEN 1995 - year_of_birth >= 75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM person) GROUP BY 1 HAVING count(*) >= 3"),

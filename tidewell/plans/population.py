@@ -110,7 +110,7 @@ def eligible(target: DataFrame, cdm: Cdm, look_back: int, start: int, end: int)
     return first_episode(inside.select(*target.columns).distinct())
 
 
-def _labelled(cohort: DataFrame, outcome: DataFrame, start: int, end: int) -> DataFrame:
+def labelled(cohort: DataFrame, outcome: DataFrame, start: int, end: int) -> DataFrame:
     """cohort with label: an outcome in the days at risk."""
     o = outcome.select("subject_id", F.col("cohort_start_date").alias("o")).join(cohort, "subject_id").where(F.datediff("o", "cohort_start_date").between(start, end))
     return cohort.join(o.select("subject_id").distinct().withColumn("_o", F.lit(1)), "subject_id", "left").withColumn("label", F.coalesce("_o", F.lit(0)).cast("long")).drop("_o")
@@ -122,7 +122,7 @@ def prediction_attrition(target: DataFrame, outcome: DataFrame, cdm: Cdm, look_b
     prior = outcome.select("subject_id", F.col("cohort_start_date").alias("o")).join(whole, "subject_id").where("o < cohort_start_date").select("subject_id").distinct()
     out = None
     for k, (name, frame) in enumerate((("target", first_episode(target)), ("observed", whole), ("no_prior_outcome", whole.join(prior, "subject_id", "left_anti")))):
-        row = _labelled(frame, outcome, start, end).agg(F.lit(k).cast("long").alias("step"), F.lit(name).alias("rule"), F.count(F.lit(1)).alias("persons"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("outcomes"))
+        row = labelled(frame, outcome, start, end).agg(F.lit(k).cast("long").alias("step"), F.lit(name).alias("rule"), F.count(F.lit(1)).alias("persons"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("outcomes"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -140,7 +140,7 @@ def prediction_covariates(target: DataFrame, outcome: DataFrame, ev: DataFrame,
 
 def prediction_diagnostic(target: DataFrame, outcome: DataFrame, ev: DataFrame, cdm: Cdm, look_back: int = 365, start: int = 1, end: int = 365) -> DataFrame:
     """Size, outcomes, incidence, and outcomes for each candidate variable (prior concept)."""
-    whole = _labelled(eligible(target, cdm, look_back, start, end), outcome, start, end)
+    whole = labelled(eligible(target, cdm, look_back, start, end), outcome, start, end)
     prior = ev.select(F.col("person_id").alias("subject_id"), "concept_id", "event_date").join(whole, "subject_id").where((F.col("concept_id") != 0) & F.datediff("event_date", "cohort_start_date").between(-look_back, 0))
     variables = prior.agg(F.countDistinct("concept_id").alias("variables"))
     size = whole.agg(F.count(F.lit(1)).alias("persons"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("outcomes"))
@@ -150,7 +150,7 @@ def prediction_diagnostic(target: DataFrame, outcome: DataFrame, ev: DataFrame,
 
 def prediction_model(target: DataFrame, outcome: DataFrame, ev: DataFrame, cdm: Cdm, look_back: int = 365, start: int = 1, end: int = 365, top: int = 20) -> DataFrame:
     """(subject_id, label, score): predicted risk of the outcome, from the most common concepts of the look-back."""
-    whole = _labelled(eligible(target, cdm, look_back, start, end), outcome, start, end)
+    whole = labelled(eligible(target, cdm, look_back, start, end), outcome, start, end)
     prior = ev.select(F.col("person_id").alias("subject_id"), "concept_id", "event_date").join(whole, "subject_id").where((F.col("concept_id") != 0) & F.datediff("event_date", "cohort_start_date").between(-look_back, 0))
     return fitted_scores(whole, prior.select("subject_id", "concept_id"), top)
 
@@ -174,7 +174,7 @@ def gated_pathways(paths: DataFrame, least: int, cap: int = 5) -> DataFrame:
     steps = F.split("path", ">")
     out, kept = None, paths.select(steps.alias("p"), "n_subjects", F.lit("").alias("shown"))
     for layer in range(1, cap + 1):
-        reach = kept.where(F.size("p") >= layer).withColumn("step", F.element_at("p", layer))
+        reach = kept.where(F.size("p") >= layer).withColumn("step", F.try_element_at("p", F.lit(layer)))
         nodes = reach.groupBy("shown", "step").agg(F.sum("n_subjects").alias("n"))
         name = F.when(F.col("n") >= least, F.col("step")).otherwise(F.lit("Other"))
         path = F.when(F.col("shown") == "", name).otherwise(F.concat("shown", F.lit(">"), name))
@@ -216,7 +216,7 @@ def temporal_values(target: DataFrame, cdm: Cdm, windows: Sequence[tuple[int, in
 def risk_factors(target: DataFrame, outcome: DataFrame, ev: DataFrame, end: int = 365) -> DataFrame:
     """Standardised differences by prior concept between persons who get the outcome at risk and those who don't."""
     first = first_episode(target)
-    marked = _labelled(first, outcome, 1, end)
+    marked = labelled(first, outcome, 1, end)
     sides = [covariate_prevalence(marked.where(F.col("label") == k).drop("label"), ev, -365, 0) for k in (1, 0)]
     return standardised_difference(*sides)
 

@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import secrets
 import time
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cohorts, concepts, features, filters, noise, profile, tokens, verbs
 from .operators.gate import DisclosureError, Policy, assert_min_persons, band, gate, pooling_contract, safe_levels
-from .plans import analyses, outputs, population, scores, standard, templates
+from .plans import outputs, scores, standard, templates
 from .plans.extract import SpecError, extract
 from .plans.outputs import Plan
+from .plans.registry import Entry, entries
 from .sources import results, sinks
 from .sources.blueprint import Blueprint
 from .sources.cdm import Cdm, views
@@ -31,45 +32,6 @@ RECORD_COUNTS = ("n_records", "n_visits", "n_events", "n_eras", "records", "entr
 EDGES_HOLD = 3600
 
 
-@dataclass(frozen=True)
-class Entry:
-    """A named analysis: what its rows count, whether it needs a cohort, its parameters and how it is computed.
-
-    compute takes (session, cohort or None, parameters) and gives an aggregate
-    frame with no column but strata, the counts named and the values.
-    """
-
-    name: str
-    unit: str
-    compute: Callable[[Session, DataFrame | None, dict], DataFrame]
-    counts: tuple[str, ...]
-    scoped: bool = True
-    companion: str | None = None
-    ratios: Mapping[str, tuple[str, str]] = field(default_factory=dict)
-    parameters: Mapping[str, object] = field(default_factory=dict)
-    columns: tuple[str, ...] | None = None
-    combine: str = "sum"
-
-
-def _entries() -> list[Entry]:
-    ev = lambda s, p: cohorts.events(s.cdm, p["domain"])
-    stored = lambda s, p, k: s.cohort(p[k])
-    window = {"domain": "condition", "start": -365, "end": 0}
-    return [
-        Entry("cohort.count", "record", lambda s, c, p: analyses.cohort_count(c), ("entries",), companion="subjects"),
-        Entry("cohort.time_series", "record", lambda s, c, p: analyses.time_series(c), ("records", "person_days"), companion="subjects"),
-        Entry("cohort.visit_context", "person", lambda s, c, p: analyses.visit_context(c, s.cdm), ("n_subjects",)),
-        Entry("cohort.index_events", "record", lambda s, c, p: analyses.index_breakdown(c, s.cdm, p["domain"]), ("n_events",), companion="n_subjects", parameters={"domain": "condition"}),
-        Entry("cohort.demographics", "person", lambda s, c, p: analyses.demographics(c, s.cdm), ("n_subjects",)),
-        Entry("covariates.prevalence", "person", lambda s, c, p: analyses.covariate_prevalence(c, ev(s, p), p["start"], p["end"]).drop("share"), ("n_subjects",), parameters=window),
-        Entry("incidence.rate", "person", lambda s, c, p: analyses.incidence_rate(c, stored(s, p, "outcome"), s.cdm, p["start"], p["end"], p["strata"]).drop("rate", "person_days", "n_outcomes"), ("n_with_outcome", "n_persons"), ratios={"proportion": ("n_with_outcome", "n_persons")}, parameters={"outcome": 1, "start": 0, "end": 365, "strata": ()}),
-        Entry("comparison.attrition", "person", lambda s, c, p: analyses.attrition(c, s.cdm, p["require"], p["exclude"], tuple(p["age"]), p["prior"]).drop("exposures"), ("persons",), parameters={"require": [2004], "exclude": [2007], "age": [30, 80], "prior": 100}),
-        Entry("prediction.attrition", "person", lambda s, c, p: population.prediction_attrition(c, stored(s, p, "outcome"), s.cdm), ("persons", "outcomes"), parameters={"outcome": 1}),
-        Entry("series.histogram", "record", lambda s, c, p: population.series_histogram(c, stored(s, p, "outcome"), s.cdm, p["width"]), ("n_events",), companion="n_subjects", parameters={"outcome": 1, "width": 30}),
-        Entry("persons.by_gender", "person", lambda s, c, p: templates.catalog()["person.demographic_summary"].build(s.cdm).groupBy("gender_concept_id").agg(F.sum("n_persons").alias("n_persons")) if c is None else c.select(F.col("subject_id").alias("person_id")).distinct().join(s.cdm.person, "person_id").groupBy("gender_concept_id").agg(F.countDistinct("person_id").alias("n_persons")), ("n_persons",), scoped=False),
-    ]
-
-
 class Session:
     """A database, the policy of its releases, and what has been made of it."""
 
@@ -84,7 +46,7 @@ class Session:
         self.frames: dict[str, DataFrame] = {}
         self.audit: list[dict] = []
         self._edges: dict[str, tuple[float, list[float]]] = {}
-        self.registry: dict[str, Entry] = {e.name: e for e in _entries()}
+        self.registry: dict[str, Entry] = {e.name: e for e in entries()}
 
     # Release.
 
@@ -469,7 +431,8 @@ class Session:
         made = e.compute(self, within, dict(e.parameters) | parameters)
         if e.columns is not None and set(made.columns) != set(e.columns):
             raise DisclosureError("the result has other columns than it may")
-        out = self.release(made, e.unit, list(e.counts), f"analysis {name}", companion=e.companion, ratios=dict(e.ratios))
+        summary = [c for c in made.columns if c in ("avg_value", "stdev_value", *standard.QUANTILES)]
+        out = self.release(made, e.unit, list(e.counts), f"analysis {name}", companion=e.companion, ratios=dict(e.ratios), summary=summary)
         first = e.companion or e.counts[0]
         return out if top is None else out.orderBy(F.desc(first), *[c for c in out.columns if c not in (first, *e.counts)]).limit(top)
 
