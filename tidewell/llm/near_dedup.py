@@ -305,9 +305,9 @@ class _Table:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked: estimated from sketches, then confirmed on full sets."""
         guessed = self.estimated(pairs)
-        likely = saved(guessed.where(F.col("alike") >= FLOOR).select("a", "b"))
+        likely = guessed.where(F.col("alike") >= FLOOR).select("a", "b")
         links = saved(self.with_texts(likely).mapInArrow(_verified(self.size, self.percent), "a long, b long"))
-        discard(guessed, likely)
+        discard(guessed)
         return links
 
     def recentred(self, lists: DataFrame, pivot_first: Column) -> tuple[DataFrame, DataFrame]:
@@ -315,25 +315,22 @@ class _Table:
         # Saved, so that Spark can split a long list's join.
         pivots = saved(lists.groupBy("key").agg(F.min_by("id", F.struct(pivot_first.alias("p"), F.xxhash64("id").alias("h"), "id")).alias("b")))
         guessed = self.estimated(lists.select("key", F.col("id").alias("a")).join(_if_small(pivots, self.broadcast_rows), "key").where("a <> b"))
-        likely = saved(guessed.where(F.col("alike") >= NEAR_FLOOR).select("a", "b"))
+        likely = guessed.where(F.col("alike") >= NEAR_FLOOR).select("a", "b")
         stars = saved(self.with_texts(likely).mapInArrow(_centred(self.size, self.percent), f"{_VIEWS}, hub long, far boolean"))
         far = saved(stars.where("far").select("id").unionByName(guessed.where(F.col("alike") < NEAR_FLOOR).select(F.col("a").alias("id"))).distinct())
         own = self.of(far).mapInArrow(_own(self.size), f"{_VIEWS}, hub long, far boolean")
         keep = [c.split()[0] for c in _VIEWS.split(", ")]
         views = saved(stars.where(F.size("elements") > 0).select(*keep).unionByName(own.select(*keep)))
-        links = saved(stars.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        discard(pivots, guessed, likely, stars, far)
-        return links, views
+        discard(pivots, guessed, far)
+        return stars.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")), views
 
 
 def _by_length(lists: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Lists of 2 to limit entries, and longer ones (None where there are none)."""
-    counts = saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1"))
-    short = saved(lists.join(counts.where(F.col("entries") <= limit).select("key"), "key"))
-    long_keys = counts.where(F.col("entries") > limit).select("key")
-    long = None if long_keys.isEmpty() else saved(lists.join(long_keys, "key"))
-    discard(counts)
-    return short, long
+    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
+    counted = saved(lists.join(counts, "key"))
+    long = counted.where(F.col("entries") > limit).drop("entries")
+    return counted.where(F.col("entries") <= limit).drop("entries"), None if long.isEmpty() else long
 
 
 def _links(table: _Table, percent: int, broadcast_rows: int) -> DataFrame:
@@ -347,7 +344,6 @@ def _links(table: _Table, percent: int, broadcast_rows: int) -> DataFrame:
             break
         found, views = table.recentred(long, pivot_first)
         links = found if links is None else links.unionByName(found)
-        discard(long)
         lists = _prefix_lists(views, percent, broadcast_rows)
         discard(views)
         # In the last round lists of any length are joined: nothing is given up.
@@ -378,22 +374,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     # A repeated key may stand for several classes; pairs are confirmed text by text.
     classes = saved(member.where("id = rep").select("id", "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"]))
     members = saved(member.select("id", "n_shingles", "rep").unionByName(sketches.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("rep"))))
-    versions = saved(_versions(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), live))
+    repeated = saved(live.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("id"))
     discard(sketches, first)
     links = _links(_Table(classes, rows, size, percent, broadcast_rows), percent, broadcast_rows)
-    every = components(links.unionByName(versions))
-    discard(classes, versions)
+    if not repeated.isEmpty():
+        # What a key's rows are in is linked: the representatives of its classes, through the key.
+        links = links.unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).join(repeated, F.col("b") == F.col("id"), "left_semi"))
+    every = components(links)
+    discard(classes, repeated)
     linked = members.where("rep is not null").join(every.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = linked.unionByName(members.where("rep is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _versions(copies: DataFrame, live: DataFrame) -> DataFrame:
-    """Links that repeated keys make: between the classes that one key's rows are in."""
-    repeated = live.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("id")
-    return copies.join(repeated, F.col("b") == F.col("id"), "left_semi")
-
-
 def oracle_sql(table: str = "documents", key: str = "doc_id", size: int = 4, percent: int = 80) -> str:
     """The same links and components as DuckDB SQL, every pair that shares a shingle compared."""
     return f"""
