@@ -310,6 +310,39 @@ def test_noise_is_keyed_and_bounded(session):
         session.noise_release("median", "measurement")
 
 
+def test_date_breaks_and_seals(spark, session):
+    assert noise.break_numbers(["1970-01-02", "1970-02-01"], "date") == [1.0, 31.0] and noise.break_numbers(["1970-01-01T00:01:00", "1970-01-02"], "datetime") == [60.0, 86400.0]
+    with pytest.raises(ValueError):
+        noise.break_numbers([1, 1], "number")
+    bins = noise.date_histogram(session._tables["condition_occurrence"], "condition_start_date", ["2021-01-01", "2021-06-01", "2022-12-31"]).orderBy("bin").collect()
+    assert [r["value"] for r in bins] == [5, 4]
+    assert session.noise_release("date_histogram", "condition_occurrence", "condition_start_date", breaks=["2021-01-01", "2021-06-01", "2022-12-31"]).count() == 2
+    session.frames["rows"] = spark.createDataFrame([(1, 2.0), (2, 3.0)], "person_id long, x double")
+    proof = session.seal("rows", {"kind": "rows"})
+    session.frames["rows"] = session.frames["rows"].orderBy(F.desc("x"))
+    assert session.verify("rows", {"kind": "rows"}, proof) and not session.verify("rows", {"kind": "other"}, proof)
+    session.frames["rows"] = session.frames["rows"].withColumn("x", F.col("x") + 1)
+    assert not session.verify("rows", {"kind": "rows"}, proof)
+    assert {"table": "measurement", "column": "value_as_number", "statistic": "bounded_mean"} in session.noise_catalog() and not [x for x in session.noise_catalog() if x["column"] == "year_of_birth"]
+
+
+def test_temporal_specs(spark, tables):
+    from tidewell.operators import temporal
+
+    for bad in ({"nothing": 1}, {"index_window": (5, 1)}, {"event_select": {"order": "middle"}}, {"min_gap": 0}):
+        with pytest.raises(ValueError):
+            temporal.check_spec(bad)
+    for bad in ((5, 1, 1), (0, 10, 0), (0, 20_000, 1)):
+        with pytest.raises(ValueError):
+            temporal.check_bins(*bad)
+    assert temporal.check_bins(0, 59, 30) == 2
+    whole = tables["cohort"].where("cohort_definition_id = 2")
+    assert temporal.roster(whole, tables["observation_period"]).count() == 4
+    with pytest.raises(ValueError):
+        temporal.roster(whole.withColumn("cohort_start_date", F.lit("1999-01-01").cast("date")), tables["observation_period"])
+    assert rows(features.declared_dictionary(spark, {7: "Blood pressure, high"})) == [(7, "Blood pressure, high", "blood_pressure_high")]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (1, 2), (None, 3)], "person_id long, n int")
     hidden = tokens.tokenise(df, b"secret")

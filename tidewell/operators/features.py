@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import concept_label, day_diff
@@ -122,6 +122,11 @@ def dictionary(cdm: Cdm, ids: DataFrame) -> DataFrame:
     return ids.select("concept_id").distinct().join(c, "concept_id").withColumn("label", concept_label(F.col("concept_name")))
 
 
+def declared_dictionary(spark: SparkSession, concepts: dict[int, str]) -> DataFrame:
+    """The dictionary of an output whose concepts are declared, without a look at the vocabulary."""
+    return spark.createDataFrame([(int(c), n) for c, n in concepts.items()], "concept_id long, concept_name string").withColumn("label", concept_label(F.col("concept_name")))
+
+
 def derived(cdm: Cdm, reference: str) -> DataFrame:
     """Per person: age, sex, observed days (total, first, last, longest), days before and after a date, missing demographics."""
     at = F.lit(reference).cast("date")

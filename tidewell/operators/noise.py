@@ -6,6 +6,7 @@ again gives the same answer.
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import hmac
 import json
@@ -81,6 +82,43 @@ def numeric_histogram(df: DataFrame, value: str, breaks: Sequence[float], how: s
     return listed.join(histogram(clipped, "v", breaks, person).select("bin", F.col("n_persons").alias("value")), "bin", "left").fillna(0, ["value"])
 
 
+def as_number(column: str, kind: str) -> Column:
+    """A date as days, or a time (in UTC) as seconds, since 1970."""
+    return F.unix_date(F.col(column).cast("date")).cast("double") if kind == "date" else F.unix_timestamp(F.col(column).cast("timestamp")).cast("double")
+
+
+def break_numbers(breaks: Sequence, kind: str) -> list[float]:
+    """Breaks as numbers: numbers as they are, ISO dates as days, ISO times in UTC as seconds since 1970; they must rise."""
+    if kind == "date":
+        out = [float((dt.date.fromisoformat(b) - dt.date(1970, 1, 1)).days) for b in breaks]
+    elif kind == "datetime":
+        out = [dt.datetime.fromisoformat(b).replace(tzinfo=dt.timezone.utc).timestamp() for b in breaks]
+    else:
+        out = [float(b) for b in breaks]
+    if len(out) < 2 or any(a >= b for a, b in zip(out, out[1:])):
+        raise ValueError("breaks must rise")
+    return out
+
+
+def date_histogram(df: DataFrame, column: str, breaks: Sequence[str], how: str = "min", person: str = "person_id", kind: str = "date") -> DataFrame:
+    """Persons by bin of one clipped day (or time) each."""
+    return numeric_histogram(df.withColumn("_at", as_number(column, kind)), "_at", break_numbers(breaks, kind), how, person)
+
+
+def seal(df: DataFrame, key: bytes, recipe: dict, person: str = "person_id") -> str:
+    """A proof that a frame is what a person-local recipe made: an HMAC of the recipe and of the content, in whatever order its rows are."""
+    if person not in df.columns:
+        raise ValueError("a sealed frame needs its persons")
+    sums = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    content = {"recipe": recipe, "columns": df.dtypes, "rows": sums["n"], "hash": str(sums["h"])}
+    return hmac.new(key, json.dumps(content, sort_keys=True, default=str).encode(), hashlib.sha256).hexdigest()
+
+
+def verified(df: DataFrame, key: bytes, recipe: dict, proof: str, person: str = "person_id") -> bool:
+    """Whether the frame still is what was sealed."""
+    return hmac.compare_digest(seal(df, key, recipe, person), proof)
+
+
 def bounded_distinct(df: DataFrame, column: str, k: int, person: str = "person_id") -> DataFrame:
     """Distinct values over at most k distinct ones a person, the smallest first."""
     w = Window.partitionBy(person).orderBy(column)

@@ -8,6 +8,45 @@ from pyspark.sql import functions as F
 from .cohorts import COHORT
 
 
+MAX_BINS = 10_000
+
+
+def check_bins(start: int, end: int, width: int) -> int:
+    """How many bins of a width days start to end have; raises unless the spec makes sense."""
+    if end < start or width < 1:
+        raise ValueError("days must run forward, in bins of a day or more")
+    bins = (end - start) // width + 1
+    if bins > MAX_BINS:
+        raise ValueError(f"at most {MAX_BINS} bins")
+    return bins
+
+
+def check_spec(spec: dict) -> None:
+    """Raises unless a temporal spec holds known parts: index_window, calendar, event_select, min_gap."""
+    if unknown := set(spec) - {"index_window", "calendar", "event_select", "min_gap"}:
+        raise ValueError(f"unknown temporal part {sorted(unknown)[0]!r}")
+    if "index_window" in spec and spec["index_window"][0] is not None and spec["index_window"][1] is not None and spec["index_window"][0] > spec["index_window"][1]:
+        raise ValueError("the window ends before it starts")
+    if "event_select" in spec and (spec["event_select"].get("order") not in ("first", "last") or spec["event_select"].get("n", 1) < 1):
+        raise ValueError("events are selected as first or last, one at least")
+    if "min_gap" in spec and spec["min_gap"] < 1:
+        raise ValueError("a gap is a day at least")
+
+
+def by_spec(events: DataFrame, cohort: DataFrame, spec: dict) -> DataFrame:
+    """Events by a temporal spec, its parts in order: window around the index, calendar, gaps, selection by person."""
+    check_spec(spec)
+    out = index_window(events, cohort, *spec.get("index_window", (None, None)))
+    low, high = spec.get("calendar", (None, None))
+    out = out.where(F.col("event_date") >= F.lit(low).cast("date")) if low else out
+    out = out.where(F.col("event_date") <= F.lit(high).cast("date")) if high else out
+    if "min_gap" in spec:
+        out = min_gap(out, ["person_id", "concept_id"], spec["min_gap"])
+    if "event_select" in spec:
+        out = event_select(out, ["person_id"], spec["event_select"].get("n", 1), spec["event_select"]["order"] == "last")
+    return out
+
+
 def index_window(events: DataFrame, cohort: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Events joined to their person's episodes, with days_from_index, within [start, end] days."""
     c = cohort.select(F.col("subject_id").alias("person_id"), "cohort_start_date", "cohort_end_date")
@@ -57,11 +96,20 @@ def observed_once(episodes: DataFrame, periods: DataFrame) -> DataFrame:
     return inside.groupBy(*COHORT).agg(F.count(F.lit(1)).alias("_n"), F.min("obs_start").alias("obs_start"), F.max("obs_end").alias("obs_end")).where("_n = 1").drop("_n")
 
 
+def roster(episodes: DataFrame, periods: DataFrame) -> DataFrame:
+    """observed_once(), where every episode must have its one observation period."""
+    found = observed_once(episodes, periods)
+    if episodes.select(*COHORT).distinct().count() != found.count():
+        raise ValueError("an episode starts in no observation period, or in several")
+    return found
+
+
 def temporal_covariates(events: DataFrame, cohort: DataFrame, periods: DataFrame, start: int, end: int, width: int) -> DataFrame:
     """(episode, concept_id, bin, binary, count): events by bin of days from the index, while observed.
 
     Bins are numbered from 1: floor((day - start) / width) + 1.
     """
+    check_bins(start, end, width)
     episodes = observed_once(cohort, periods)
     joined = events.select(F.col("person_id").alias("subject_id"), "concept_id", "event_date").join(episodes, "subject_id")
     day = F.datediff("event_date", "cohort_start_date")
@@ -73,7 +121,7 @@ def temporal_covariates(events: DataFrame, cohort: DataFrame, periods: DataFrame
 def person_period(cohort: DataFrame, periods: DataFrame, start: int, end: int, width: int) -> DataFrame:
     """One row for each episode and bin that observation reaches, clipped, with days observed (both ends count)."""
     episodes = observed_once(cohort, periods)
-    n = (end - start) // width + 1
+    n = check_bins(start, end, width)
     grid = episodes.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("bin", F.col("bin").cast("long"))
     low = F.expr(f"date_add(cohort_start_date, CAST({start} + (bin - 1) * {width} AS INT))")
     high = F.expr(f"date_add(cohort_start_date, CAST(least({start} + bin * {width} - 1, {end}) AS INT))")

@@ -72,6 +72,8 @@ def row_queries() -> dict[str, Built]:
         "cohort_everyone": (lambda cdm: _days_as_text(cohorts.everyone(cdm)), _episodes("SELECT DISTINCT person_id AS subject_id, observation_period_start_date AS cohort_start_date, observation_period_end_date AS cohort_end_date FROM observation_period")),
         "noise_count_persons": (lambda cdm: noise.count_persons(cdm.condition_occurrence), "SELECT count(DISTINCT person_id) AS value FROM condition_occurrence"),
         "noise_numeric_bins": (lambda cdm: noise.numeric_histogram(cdm.measurement, "value_as_number", [0.0, 20.0, 40.0, 60.0]), "SELECT CAST(k AS BIGINT) AS bin, count(v) AS value FROM range(3) b(k) LEFT JOIN (SELECT greatest(least(avg(value_as_number), 60), 0) AS v FROM measurement WHERE value_as_number IS NOT NULL GROUP BY person_id) m ON least(floor(v / 20), 2) = k GROUP BY k"),
+        "noise_date_bins": (lambda cdm: noise.date_histogram(cdm.condition_occurrence, "condition_start_date", ["1995-01-01", "1996-01-01", "1998-01-01", "2002-01-01"]), "SELECT CAST(k AS BIGINT) AS bin, count(d) AS value FROM range(3) b(k) LEFT JOIN (SELECT greatest(least(min(condition_start_date), DATE '2002-01-01'), DATE '1995-01-01') AS d FROM condition_occurrence GROUP BY person_id) m ON k = CASE WHEN d < DATE '1996-01-01' THEN 0 WHEN d < DATE '1998-01-01' THEN 1 ELSE 2 END GROUP BY k"),
+        "temporal_spec": (lambda cdm: _days_as_text(temporal.by_spec(cond(cdm), cohorts.stored(cdm, 2), {"index_window": (-365, 365), "calendar": ("1995-06-01", "2000-12-31"), "event_select": {"order": "first", "n": 1}})).select("person_id", "event_date", "event_key"), f"SELECT person_id, CAST(event_date AS VARCHAR) AS event_date, event_key FROM (SELECT e.*, row_number() OVER (PARTITION BY person_id ORDER BY event_date, event_key) AS k FROM {COND} e JOIN {_T[2]} t ON t.subject_id = e.person_id WHERE event_date - cohort_start_date BETWEEN -365 AND 365 AND event_date BETWEEN DATE '1995-06-01' AND DATE '2000-12-31') WHERE k = 1"),
         "noise_binary_rate": (lambda cdm: noise.binary_rate(cdm.measurement.withColumn("high", F.when(F.col("value_as_number").isNotNull(), (F.col("value_as_number") > 95).cast("int"))), "high"), "SELECT count(*) FILTER (v = 1) AS numerator, count(*) AS denominator FROM (SELECT max(CASE WHEN value_as_number > 95 THEN 1 ELSE 0 END) AS v FROM measurement WHERE value_as_number IS NOT NULL GROUP BY person_id)"),
         "noise_reducers": (reduced, " UNION ALL ".join(f"SELECT '{k}' AS how, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT {a} AS v FROM {_EV['measurement']} WHERE value IS NOT NULL GROUP BY person_id)" for k, a in how.items())),
     }
@@ -110,6 +112,7 @@ def release_queries() -> dict[str, Built]:
         "session_standard": (lambda cdm: _open(cdm).standard_analysis(400), f"SELECT condition_concept_id AS stratum_1, {_band('count(DISTINCT person_id)')} AS count_value FROM condition_occurrence GROUP BY 1 HAVING count(DISTINCT person_id) >= 3"),
         "session_score": (lambda cdm: _open(cdm).score("chads2", 1995), f"SELECT score, {_band('count(*)')} AS n_persons FROM (SELECT CASE WHEN 1995 - year_of_birth >= 75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM person) GROUP BY 1 HAVING count(*) >= 3"),
         "plan_membership": (lambda cdm: _days_as_text(outputs.run(cdm, Plan({"sick": {"kind": "events", "domain": "condition", "concepts": [2006, 2007]}, "treated": {"kind": "stored", "id": 2}, "both": {"kind": "combine", "op": "intersect", "members": ["sick", "treated"]}}, {"out": {"kind": "membership", "population": "both", "id": 7}}))["out"]), f"SELECT CAST(7 AS BIGINT) AS cohort_definition_id, {EPISODE} FROM (SELECT DISTINCT person_id AS subject_id, event_date AS cohort_start_date, event_end AS cohort_end_date FROM {COND} WHERE concept_id IN (2006, 2007)) WHERE subject_id IN (SELECT subject_id FROM {_T[2]})"),
+        "plan_episode_wide": (lambda cdm: _days_as_text(outputs.run(cdm, Plan({"treated": {"kind": "stored", "id": 2}}, {"w": {"kind": "episode_wide", "population": "treated", "domain": "measurement", "concepts": {3001: "a", 3003: "b"}}}))["w"]), f"SELECT t.subject_id AS person_id, CAST(cohort_start_date AS VARCHAR) AS cohort_start_date, CAST(cohort_end_date AS VARCHAR) AS cohort_end_date, max(value) FILTER (concept_id = 3001) AS a, max(value) FILTER (concept_id = 3003) AS b FROM {_T[2]} t LEFT JOIN (SELECT e.*, cohort_start_date AS s, cohort_end_date AS x, row_number() OVER (PARTITION BY person_id, cohort_start_date, cohort_end_date, concept_id ORDER BY event_date, event_key) AS k FROM {_EV['measurement']} e JOIN {_T[2]} u ON u.subject_id = e.person_id) m ON m.person_id = t.subject_id AND m.s = cohort_start_date AND m.x = cohort_end_date AND k = 1 GROUP BY ALL"),
         "plan_baseline": (lambda cdm: _days_as_text(outputs.baseline(cdm, cohorts.stored(cdm, 2)).drop("age_group")), f"SELECT t.subject_id, CAST(t.cohort_start_date AS VARCHAR) AS cohort_start_date, CAST(t.cohort_end_date AS VARCHAR) AS cohort_end_date, gender_concept_id, race_concept_id, ethnicity_concept_id, CASE WHEN year(t.cohort_start_date) >= year_of_birth THEN year(t.cohort_start_date) - year_of_birth END AS age, t.cohort_start_date - obs_start AS prior_days, obs_end - t.cohort_start_date AS future_days FROM {_T[2]} t JOIN person p ON p.person_id = t.subject_id LEFT JOIN (SELECT t.subject_id, t.cohort_start_date, t.cohort_end_date, min(observation_period_start_date) AS obs_start, max(observation_period_end_date) AS obs_end FROM {_T[2]} t {PERIOD} GROUP BY ALL HAVING count(*) = 1) o USING (subject_id, cohort_start_date, cohort_end_date)"),
     }
 

@@ -158,6 +158,9 @@ def _multi_state(cdm: Cdm, c: DataFrame, s: dict) -> DataFrame:
 
 OUTPUTS: dict[str, Callable[[Cdm, DataFrame, dict], DataFrame]] = {
     "wide": lambda cdm, c, s: features.wide(_of(c, temporal.event_select(measured(cdm, s["domain"], list(s["concepts"])), ["person_id", "concept_id"], 1, s.get("pick", "first") == "last")), c.withColumnRenamed("subject_id", "person_id"), s["concepts"]),
+    "episode_wide": lambda cdm, c, s: features.wide(temporal.event_select(temporal.index_window(measured(cdm, s["domain"], list(s["concepts"])), c, *s.get("window", (None, None))), ["person_id", "cohort_start_date", "cohort_end_date", "concept_id"], 1, s.get("pick", "first") == "last"), c.withColumnRenamed("subject_id", "person_id"), s["concepts"], keys=["person_id", "cohort_start_date", "cohort_end_date"]),
+    "events": lambda cdm, c, s: temporal.by_spec(measured(cdm, s["domain"], s.get("concepts")), c, s.get("temporal", {})),
+    "declared_dictionary": lambda cdm, c, s: features.declared_dictionary(cdm.spark, s["concepts"]),
     "features": _by_person,
     "episode_features": _by_episode,
     "sparse": lambda cdm, c, s: features.sparse(_of(c, measured(cdm, s["domain"])))[0],

@@ -508,6 +508,26 @@ class Session:
         """How noise is made."""
         return {"mechanism": "discrete Laplace", "epsilon": self.epsilon, "statistics": sorted(STATISTICS), "repeat": "the same question has the same answer"}
 
+    def noise_catalog(self) -> list[dict]:
+        """Which statistics can be asked of which columns, by the columns' types."""
+        out = []
+        for t in self.blueprint.tables.values():
+            if t.has_person and t.category == "clinical":
+                out += [{"table": t.name, "column": None, "statistic": x} for x in ("count", "bounded_record_count")]
+                for c in t.columns:
+                    if not c.sensitive and c.name != "person_id" and not (c.name.endswith("_id") and c.role == "non_concept"):
+                        kinds = ("date_histogram",) if c.is_date else ("categorical_histogram", "bounded_distinct") if c.role != "non_concept" or c.type == "string" else ("numeric_histogram", "bounded_mean")
+                        out += [{"table": t.name, "column": c.name, "statistic": x} for x in kinds]
+        return out
+
+    def seal(self, name: str, recipe: dict) -> str:
+        """Proof that a kept frame is what a recipe made of it."""
+        return noise.seal(self.frames[name], self.secret, recipe)
+
+    def verify(self, name: str, recipe: dict, proof: str) -> bool:
+        """Whether a kept frame still is what was sealed."""
+        return noise.verified(self.frames[name], self.secret, recipe, proof)
+
     def noise_release(self, statistic: str, table: str, column: str | None = None, **how) -> DataFrame:
         """A person-bounded statistic with keyed noise."""
         if statistic not in STATISTICS:
@@ -526,6 +546,7 @@ STATISTICS: dict[str, tuple] = {
     "bounded_record_count": (lambda df, c, h: noise.bounded_records(df, h["k"]), ("value",), (), lambda h: h["k"]),
     "categorical_histogram": (lambda df, c, h: noise.categorical_histogram(df, c, h["levels"], h.get("k", 1), [c]), ("value",), ("level",), lambda h: h.get("k", 1)),
     "numeric_histogram": (lambda df, c, h: noise.numeric_histogram(df, c, h["breaks"], h.get("how", "mean")), ("value",), ("bin",), lambda h: 1),
+    "date_histogram": (lambda df, c, h: noise.date_histogram(df, c, h["breaks"], h.get("how", "min"), kind=h.get("kind", "date")), ("value",), ("bin",), lambda h: 1),
     "bounded_distinct": (lambda df, c, h: noise.bounded_distinct(df, c, h["k"]), ("value",), (), lambda h: h["k"]),
     "bounded_mean": (lambda df, c, h: noise.bounded_mean(df, c, h["low"], h["high"], h.get("how", "mean")), ("n", "total"), (), lambda h: {"n": 1, "total": noise.GRID}),
     "binary_rate": (lambda df, c, h: noise.binary_rate(df, c, h.get("how", "any")), ("numerator", "denominator"), (), lambda h: 1),
