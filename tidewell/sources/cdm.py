@@ -3,6 +3,9 @@
 Every view is one SELECT over the tables before it, in SQL that Spark and
 DuckDB both read; only day arithmetic differs.  Spark reads a view lazily as a
 DataFrame; :func:`with_views` gives the same views as common table expressions.
+
+The eras have about as many groups as their table has rows.  Its rows are dealt
+out by group before Spark sums them, over more tasks the more rows there are.
 """
 
 from __future__ import annotations
@@ -14,6 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+#: Rows that one task sums into eras, about: what its hash tables hold does not grow with the input.
+TASK_ROWS = 250_000
+#: Views of eras: the view that they sum up, its concept column, and the supplied table that has at least its rows.
+ERAS = {"condition_era": ("condition_occurrence", "condition_concept_id", "orders"), "drug_era": ("drug_exposure", "drug_concept_id", "lineitem")}
+
 # Concept ids of the views by domain: first id, number of ids, domain, label.
 CONCEPT_RANGES = (
     (2000, 19, "Condition", "condition"),
@@ -119,6 +127,7 @@ class Cdm:
     def __init__(self, spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame] | None = None):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._tables: dict[str, DataFrame] = dict(tables or {})
+        self._given = frozenset(self._tables)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -132,9 +141,24 @@ class Cdm:
             if name in texts:
                 text = texts[name]
                 used = {n: self.table(n) for n in (*BASE, *texts) if n != name and re.search(rf"\b(?:FROM|JOIN) {n}\b", text)}
+                if name in ERAS:
+                    used = {n: self._dealt(df, *ERAS[name]) for n, df in used.items()}
                 for n in used:
                     text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
                 self._tables[name] = self.spark.sql(text, **used)
             else:
                 self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
+
+    def _dealt(self, df: DataFrame, name: str, concept: str, base: str) -> DataFrame:
+        """df dealt out by person and concept: a task for each TASK_ROWS rows, and for each core.
+
+        The rows are counted in the supplied table (Spark takes that from the
+        files' footers).  A table given at construction would have to be
+        computed for that; it goes to spark.sql.shuffle.partitions tasks.
+        """
+        if self._given & {name, base}:
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        else:
+            tasks = max(self.spark.sparkContext.defaultParallelism, self.table(base).count() // TASK_ROWS + 1)
+        return df.repartition(tasks, "person_id", concept)
