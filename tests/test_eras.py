@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF, duck, rows  # noqa: F401
+from tidewell.plans.templates import catalog
 from tidewell.queries import all_queries
 from tidewell.sources import cdm as source
 from tidewell.sources.cdm import Cdm
@@ -42,3 +43,22 @@ def test_given_exposures_are_not_counted_ahead(spark):
 def test_eras_in_many_tasks_match_sql(spark, duck, monkeypatch, name):  # noqa: F811
     monkeypatch.setattr(source, "TASK_ROWS", 100, raising=False)
     agrees(spark, duck, name)
+
+
+def distinct_again(df):
+    """Whether persons are made distinct once more after the eras."""
+    return "count(distinct " in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["drug_era_length_stats", "condition_era_length_stats"])
+def test_statistics_of_eras_keep_no_second_table_of_persons(spark, duck, name):  # noqa: F811
+    assert not distinct_again(all_queries()[name][0](spark, SF))
+    agrees(spark, duck, name)
+
+
+def test_statistics_of_given_eras_count_a_person_once(spark):
+    day = dt.date(2020, 1, 1)
+    eras = spark.createDataFrame([(1, 5, day, day, 1), (1, 5, day, day, 4), (2, 5, day, day, 1), (None, 5, day, day, 2), (1, 0, day, day, 1), (1, None, day, day, 1)], "person_id long, drug_concept_id long, drug_era_start_date date, drug_era_end_date date, drug_exposure_count long")
+    concepts = spark.createDataFrame([(5, "five")], "concept_id long, concept_name string")
+    got = catalog()["drug_era.exposure_count_stats"].build(Cdm(spark, "/nowhere", {"drug_era": eras, "concept": concepts})).collect()
+    assert [(r["drug_concept_id"], r["n_persons"], r["n_eras"], r["avg_exposure_count"]) for r in got] == [(5, 2, 4, 2.0)]

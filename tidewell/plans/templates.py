@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import age_ladder, age_ladder_sql, day_diff, persons, records
-from ..sources.cdm import Cdm
+from ..sources.cdm import ERAS, Cdm
 
 #: Concepts that the parameterised templates are registered with.
 DEFAULT = {"condition": 2003, "drug": 1000003, "measurement": 3001, "observation": 4001, "procedure": 5001, "device": 6001}
@@ -67,6 +67,16 @@ def named(df: DataFrame, cdm: Cdm, column: str, name: str, how: str = "inner") -
     return df.join(c, F.col(column) == F.col("_cid"), how).drop("_cid")
 
 
+def _persons(table: str, concept: str) -> Column:
+    """Distinct persons of groups that each hold one concept, never null.
+
+    Eras count them as distinct pairs, which is the same number: Spark then
+    leaves the DISTINCT out where an era is known to be a person and concept's
+    only one, and so two hash tables as large as that of the eras.
+    """
+    return F.countDistinct(concept, "person_id").alias("n_persons") if table in ERAS else persons()
+
+
 def top_n(df: DataFrame, n: int, band: int = 5, by: str = "n_persons", key: str = "concept_id") -> DataFrame:
     """The n best supported rows; support is banded first, so order within a band tells nothing."""
     return df.orderBy(F.desc(F.floor(F.col(by) / band) * band), key).limit(n)
@@ -135,7 +145,7 @@ def _stats(id_: str, domain: str, value: Callable[[], Column], value_sql: str, l
 
     def build(cdm: Cdm) -> DataFrame:
         ev = cdm.table(d.table).where(where).where(F.col(d.concept) != 0)
-        out = ev.groupBy(d.concept).agg(persons(), records().alias(counted), F.round(F.avg(value()), 6).alias(f"avg_{label}"), F.round(F.stddev_samp(value()), 6).alias(f"sd_{label}"))
+        out = ev.groupBy(d.concept).agg(_persons(d.table, d.concept), records().alias(counted), F.round(F.avg(value()), 6).alias(f"avg_{label}"), F.round(F.stddev_samp(value()), 6).alias(f"sd_{label}"))
         return named(out, cdm, d.concept, "concept_name")
 
     return Template(id_, "BLOCKED", build, f"SELECT e.{d.concept}, c.concept_name, count(DISTINCT person_id) AS n_persons, count(*) AS {counted}, round(avg({value_sql}), 6) AS avg_{label}, round(stddev_samp({value_sql}), 6) AS sd_{label} FROM {d.table} e JOIN concept c ON c.concept_id = e.{d.concept} WHERE {where} AND e.{d.concept} <> 0 GROUP BY ALL")
