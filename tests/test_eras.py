@@ -62,3 +62,9 @@ def test_statistics_of_given_eras_count_a_person_once(spark):
     concepts = spark.createDataFrame([(5, "five")], "concept_id long, concept_name string")
     got = catalog()["drug_era.exposure_count_stats"].build(Cdm(spark, "/nowhere", {"drug_era": eras, "concept": concepts})).collect()
     assert [(r["drug_concept_id"], r["n_persons"], r["n_eras"], r["avg_exposure_count"]) for r in got] == [(5, 2, 4, 2.0)]
+
+
+def test_months_of_eras_keep_no_second_table_of_persons(spark, duck, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(source, "TASK_ROWS", 100, raising=False)
+    assert not distinct_again(all_queries()["drug_era_by_month"][0](spark, SF))
+    agrees(spark, duck, "drug_era_by_month")

@@ -316,7 +316,7 @@ def _others() -> list[Template]:
         _joined("death.by_age", death_by_age, f"SELECT {age_ladder_sql('year(death_date) - year_of_birth', 90)} AS age_group, count(DISTINCT d.person_id) AS n_persons FROM death d JOIN person p ON p.person_id = d.person_id GROUP BY ALL"),
         _joined("death.by_gender", death_by_sex, "SELECT g.concept_name AS gender_name, count(DISTINCT d.person_id) AS n_persons FROM death d JOIN person p ON p.person_id = d.person_id JOIN concept g ON g.concept_id = p.gender_concept_id GROUP BY ALL"),
         _joined("death.summary", lambda cdm: named(cdm.death.groupBy("cause_concept_id").agg(persons()), cdm, "cause_concept_id", "cause_name"), "SELECT cause_concept_id, c.concept_name AS cause_name, count(DISTINCT person_id) AS n_persons FROM death JOIN concept c ON c.concept_id = cause_concept_id GROUP BY ALL"),
-        _joined("drug_era.by_month", lambda cdm: named(cdm.drug_era.where("drug_concept_id <> 0").groupBy("drug_concept_id", F.month("drug_era_start_date").cast("long").alias("start_month")).agg(persons(), records()), cdm, "drug_concept_id", "concept_name"), "SELECT drug_concept_id, c.concept_name, month(drug_era_start_date) AS start_month, count(DISTINCT person_id) AS n_persons, count(*) AS n_records FROM drug_era JOIN concept c ON c.concept_id = drug_concept_id WHERE drug_concept_id <> 0 GROUP BY ALL"),
+        _joined("drug_era.by_month", lambda cdm: named(cdm.drug_era.where("drug_concept_id <> 0").groupBy("drug_concept_id", F.month("drug_era_start_date").cast("long").alias("start_month")).agg(_persons("drug_era", "drug_concept_id"), records()), cdm, "drug_concept_id", "concept_name"), "SELECT drug_concept_id, c.concept_name, month(drug_era_start_date) AS start_month, count(DISTINCT person_id) AS n_persons, count(*) AS n_records FROM drug_era JOIN concept c ON c.concept_id = drug_concept_id WHERE drug_concept_id <> 0 GROUP BY ALL"),
         _joined("payer_plan.by_plan_concept", lambda cdm: named(cdm.payer_plan_period.groupBy("plan_concept_id").agg(persons()), cdm, "plan_concept_id", "concept_name"), "SELECT plan_concept_id, c.concept_name, count(DISTINCT person_id) AS n_persons FROM payer_plan_period JOIN concept c ON c.concept_id = plan_concept_id GROUP BY ALL"),
         _joined("payer_plan.length_distribution", lambda cdm: cdm.payer_plan_period.groupBy((F.year("payer_plan_period_end_date") - F.year("payer_plan_period_start_date")).cast("long").alias("years_covered")).agg(persons()), "SELECT year(payer_plan_period_end_date) - year(payer_plan_period_start_date) AS years_covered, count(DISTINCT person_id) AS n_persons FROM payer_plan_period GROUP BY ALL"),
         _joined("person.age_distribution_decade", lambda cdm: cdm.person.groupBy(ladder(2002, 90).alias("age_group")).agg(persons()), f"SELECT {age_ladder_sql('2002 - year_of_birth', 90)} AS age_group, count(DISTINCT person_id) AS n_persons FROM person GROUP BY ALL"),
