@@ -68,3 +68,10 @@ def test_months_of_eras_keep_no_second_table_of_persons(spark, duck, monkeypatch
     monkeypatch.setattr(source, "TASK_ROWS", 100, raising=False)
     assert not distinct_again(all_queries()["drug_era_by_month"][0](spark, SF))
     agrees(spark, duck, "drug_era_by_month")
+
+
+@pytest.mark.parametrize("name", ["drug_era_prevalence_by_concept", "condition_era_prevalence_by_concept"])
+def test_prevalence_of_eras_keeps_no_second_table_of_persons(spark, duck, monkeypatch, name):  # noqa: F811
+    monkeypatch.setattr(source, "TASK_ROWS", 100, raising=False)
+    assert not distinct_again(all_queries()[name][0](spark, SF))
+    agrees(spark, duck, name)

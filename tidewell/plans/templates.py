@@ -87,7 +87,7 @@ def _by_concept(id_: str, domain: str, safety: str = "SAFE_AGGREGATE", name: str
 
     def build(cdm: Cdm) -> DataFrame:
         ev = cdm.table(d.table).where(F.col(d.concept) != 0)
-        return named(ev.groupBy(F.col(d.concept).alias("concept_id")).agg(persons(), records()), cdm, "concept_id", "concept_name")
+        return named(ev.groupBy(F.col(d.concept).alias("concept_id")).agg(_persons(d.table, d.concept), records()), cdm, "concept_id", "concept_name")
 
     return Template(id_, safety, build, f"SELECT e.{d.concept} AS concept_id, c.concept_name, count(DISTINCT person_id) AS n_persons, count(*) AS n_records FROM {d.table} e JOIN concept c ON c.concept_id = e.{d.concept} WHERE e.{d.concept} <> 0 GROUP BY ALL")
 
