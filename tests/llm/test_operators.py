@@ -434,6 +434,37 @@ def test_bpe_leaves_and_heap_agree(coder, monkeypatch):
     assert [coder.word(w) for w in words_] == leaves
 
 
+def test_bpe_batches_match_library(coder):
+    """Texts of all kinds in one batch, words at each other's edges, words longer than a leaf."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(11)
+    texts = [None, "", " ", "'", "'s", "x'", "''s 's't'll'l 're'r 'v've1'd'D'M!'t \"'s é's\x1c's", "\x00", "<|endoftext|>", "a<|endoftext|>'s<|startoftext|> ", "ab" * 40, "ǅȺȾİ", "ɏ", "ɐ", "\U0001f600's"]
+    texts += ["".join(rng.choice("'" * 5 + "strevmldDLSTRE 1½é!\x85\n" + ("Σ́" if k % 9 == 0 else "")) for _ in range(rng.randint(0, 30))) for k in range(3000)]
+    texts += ["<|endoftext|>".join(rng.choice(["", " ", "It's", "Σ"]) for _ in range(rng.randint(2, 6))) for _ in range(50)]
+    texts += ["".join(rng.choice("athinger " + "é" * (k % 2)) for _ in range(rng.randint(0, 400))) for k in range(60)]
+    for t, (n, joined, decoded) in zip(texts, coder.all_digest_parts(texts), strict=True):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (n, joined) == (len(ids), " ".join(map(str, ids))) and decoded == library.decode(ids, skip_special_tokens=False), t
+    assert coder.all_digest_parts([]) == []
+
+
+def test_bpe_distinct_words_are_merged_together():
+    """A text of new words takes less than half the time of its words one by one."""
+    import time
+
+    rng = random.Random(2)
+    words_ = list({"".join(rng.choice(["th", "in", "er", "tion", "an", "qu", "é"]) for _ in range(rng.randint(3, 8))) for _ in range(30_000)})
+    fresh = bpe.TreeBpe(tokenizer_path())
+    at = [time.process_time()]
+    n = fresh.digest_parts(" ".join(words_))[0]
+    at.append(time.process_time())
+    assert n == sum(len(fresh.word(w)) for w in words_)
+    at.append(time.process_time())
+    assert 2 * (at[1] - at[0]) < at[2] - at[1]
+
+
 def test_bpe_tables_start_anew():
     small = bpe.TreeBpe(tokenizer_path(), table_entries=50)
     texts = [" ".join(f"word{k}x{j}" for j in range(30)) for k in range(10)]

@@ -5,11 +5,14 @@ a tree: while longer than a leaf it is halved, its halves are encoded, and at
 each join a window of tokens is re-encoded, growing until its outer tokens agree
 with both sides.  A token sequence in which every neighbouring pair stands as
 BPE would leave it is the BPE encoding of its text, so agreement at both ends
-makes the join exact.  Words are kept in a bounded table.  Long documents are
+makes the join exact.  Each distinct word of a slice of texts is encoded once;
+leaves are merged many at a time, in numpy, and the texts' results are put
+together from those of their words in Arrow.  Long documents are
 cut into pieces that Spark encodes in parallel; their joins re-split growing
 windows of text in the same way, until word boundaries agree.  Of the
 tokenizers library only the normal form and, beyond code point 0x24F, the
-pre-tokenizer are used; no text is encoded by it.
+pre-tokenizer are used; no text is encoded by it.  Words of pieces are kept in a
+bounded table, since windows hold them again.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import slices, small_batches
+from .textcore import slices, small_batches, text_buffer
 
 LEAF = 64
 #: The rank of a pair that is never merged.
@@ -40,10 +43,13 @@ SLICE_BYTES = 2 << 20
 MARGIN = 4
 SUFFIX = "</w>"
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+#: Words whose leaves are merged at a time.
+MANY = 8192
+SPACE, LETTER, NUMBER, MARK = range(4)
 
 
-def _simple_pattern() -> tuple[re.Pattern, re.Pattern]:
-    """The pre-tokenizer's pattern for texts of code points below 0x250, and a search for any others.
+def _simple_pattern() -> tuple[re.Pattern, re.Pattern, np.ndarray]:
+    """The pre-tokenizer's pattern for texts of code points below 0x250, a search for any others, and the kind of each such code point.
 
     Such texts are in composed form already and lower-case a character at a time.
     """
@@ -56,10 +62,45 @@ def _simple_pattern() -> tuple[re.Pattern, re.Pattern]:
         elif unicodedata.category(c)[0] in "LN":
             kind[unicodedata.category(c)[0]].append(c)
     text = {k: "".join(map(re.escape, v)) for k, v in kind.items()}
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{text['L']}]+|[{text['N']}]|[^{text['S']}{text['L']}{text['N']}]+"), re.compile("[^\x00-ɏ]")
-
-
-_SIMPLE, _OTHER = _simple_pattern()
+    table = np.full(0x250, MARK, dtype=np.uint8)
+    for name, value in (("S", SPACE), ("L", LETTER), ("N", NUMBER)):
+        table[list(map(ord, kind[name]))] = value
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{text['L']}]+|[{text['N']}]|[^{text['S']}{text['L']}{text['N']}]+"), re.compile("[^\x00-ɏ]"), table
+
+
+_SIMPLE, _OTHER, _KIND = _simple_pattern()
+
+
+def simple_words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """What _SIMPLE finds in normalised texts of code points below 0x250: the words of all, and where each text's begin (at last, their end)."""
+    code = np.frombuffer(("\n".join(texts) + "\n" * 4).encode("utf-16-le"), dtype=np.uint16)
+    kind = _KIND[code]
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    quote = np.flatnonzero(code == ord("'"))
+    quote = quote[kind[quote - 1] != MARK]  # before the first character stands the last, a blank
+    a, b = code[quote + 1], code[quote + 2]
+    one = np.isin(a, list(map(ord, "stmd")))
+    two = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+    for found, letters in ((quote[one], 1), (quote[two], 2)):
+        for k in range(1, letters + 1):
+            start[found + k] = False
+        start[found + letters + 1] = kind[found + letters + 1] != SPACE
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)])
+    first = np.searchsorted(np.flatnonzero(start), begin)
+    inside = kind != SPACE
+    code = code[inside]
+    end = np.cumsum((code >= 0x80) + np.uint8(1), dtype=np.int32)  # of each character, in bytes
+    offsets = np.concatenate([[0], end[np.flatnonzero(start[inside])[1:] - 1], end[-1:]]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(code.tobytes().decode("utf-16-le").encode("utf-8"))), first
+
+
+def joined(texts: pa.StringArray, which: np.ndarray, first: np.ndarray) -> pa.StringArray:
+    """For each k, the texts numbered which[first[k] : first[k + 1]] in one."""
+    taken = texts.take(pa.array(which))
+    _, offsets, data = taken.buffers()
+    places = np.frombuffer(offsets, dtype=np.int32, count=len(taken) + 1, offset=4 * taken.offset)[first] if len(taken) else np.zeros(len(first), dtype=np.int32)
+    return pa.StringArray.from_buffers(len(first) - 1, pa.py_buffer(places), data if len(taken) else pa.py_buffer(b""))
 
 
 def byte_symbols() -> list[str]:
@@ -98,7 +139,19 @@ class TreeBpe:
         self.rank = {(a, b): n for n, (a, b) in enumerate(merges)}
         self.symbols = byte_symbols()
         self.table_entries = table_entries
-        self._known: dict[str, tuple[str, int, str]] = {}  # word to its ids as text, their number, its decoded text
+        self._known: dict[str, list[int]] = {}  # word to its ids
+        # For leaves: pairs of ids as ordered numbers, their ranks, what each rank makes; the edge stands at both ends of a word, in no pair.
+        self.edge, self.never = max(self.tokens) + 1, len(merges)
+        pairs = np.array([self.vocab[a] * (self.edge + 1) + self.vocab[b] for a, b in self.rank] + [NONE], dtype=np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_rank = pairs[order], np.array([*self.rank.values(), self.never], dtype=np.int32)[order]
+        self.made = np.zeros(len(merges), dtype=np.int32)
+        self.made[list(self.rank.values())] = [self.vocab[a + b] for a, b in self.rank]
+        self.first = np.array([self.vocab[x + end] for end in ("", SUFFIX) for x in self.symbols] + [self.edge], dtype=np.int32)
+        self.first_rank = self._ranks(self.first[:, None], self.first)
+        # What stands for an id, and a blank.
+        self.id_texts = pa.array([f"{i} " for i in range(self.edge)])
+        self.id_tokens = pa.array([f"{self.tokens[i]} " if i in self.tokens else "" for i in range(self.edge)])
 
     # Words.
 
@@ -174,15 +227,63 @@ class TreeBpe:
         symbols[-1] += SUFFIX
         return [self.vocab[t] for t in self.tree(symbols)]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids."""
+        pair = left.astype(np.int64) * (self.edge + 1) + right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.pair_rank[at], self.never)
+
+    def leaves(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """merge() for many short words, given as places in bytes, a pair of each at a time: their numbers as they were done, how many ids each has, all ids."""
+        rows, column = np.arange(len(size)), np.arange(int(size.max()))
+        inside = column < size[:, None]
+        grid = np.full((len(size), len(column) + 2), 512, dtype=np.int16)
+        grid[:, 1:-1][inside] = data[(begin[:, None] + column)[inside]]
+        grid[rows, size] += 256
+        token, rank = self.first[grid], self.first_rank[grid[:, :-1], grid[:, 1:]]
+        done = []
+        while len(rows):
+            at = rank.argmin(axis=1)
+            least = rank[np.arange(len(rows)), at]
+            if len(over := np.flatnonzero(least == self.never)):
+                ids = token[over]
+                done.append((rows[over], (ids != self.edge).sum(axis=1), ids[ids != self.edge]))
+                more = np.flatnonzero(least != self.never)
+                rows, token, rank, at, least = rows[more], token[more], rank[more], at[more], least[more]
+            here, column = np.arange(len(rows)), np.arange(token.shape[1] - 1)
+            token[here, at] = self.made[least]
+            token = np.where(column > at[:, None], token[:, 1:], token[:, :-1])
+            rank = np.where(column[:-1] >= at[:, None], rank[:, 1:], rank[:, :-1])
+            rank[here, at - 1] = self._ranks(token[here, at - 1], token[here, at])
+            rank[here, at] = self._ranks(token[here, at], token[here, at + 1])
+        return tuple(map(np.concatenate, zip(*done)))
+
+    def all_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words: the words' numbers in some order, how many ids each has, all ids."""
+        data, begin = text_buffer(words)
+        size = np.diff(begin)
+        order = np.argsort(size, kind="stable")
+        short = int(np.searchsorted(size[order], LEAF, side="right"))
+        done = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))]
+        for k in range(0, short, MANY):
+            part = order[k : min(k + MANY, short)]
+            number, count, ids = self.leaves(data, begin[part], size[part])
+            done.append((part[number], count, ids))
+        for n in order[short:]:
+            ids = self.word(words[int(n)].as_py())
+            done.append((np.array([n]), np.array([len(ids)]), np.array(ids, dtype=np.int32)))
+        return tuple(map(np.concatenate, zip(*done)))
+
     def _know(self, words: list[str]) -> None:
-        """Puts the words of a text into the table, which starts anew when full."""
+        """Puts words into the table, which starts anew when full."""
         missing = set(words).difference(self._known)
         if missing and len(self._known) + len(missing) > self.table_entries:
             self._known.clear()
             missing = set(words)
-        for word in missing:
-            ids = self.word(word)
-            self._known[word] = " ".join(map(str, ids)), len(ids), self.decode(ids)
+        if missing:
+            found = list(missing)
+            number, count, ids = self.all_words(pa.array(found, pa.string()))
+            self._known.update((found[n], x.tolist()) for n, x in zip(number.tolist(), np.split(ids, np.cumsum(count)[:-1])))
 
     # Texts.
 
@@ -204,30 +305,51 @@ class TreeBpe:
 
     def digest_parts(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids joined by spaces, the decoded text."""
-        if not text:
-            return 0, "", ""
-        if SPECIAL.search(text):  # the library cuts special tokens' own strings out first
-            ids = self.encode(text)
-            return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        words = self.words(self.normalise(text))
-        self._know(words)
-        if not words:
-            return 0, "", ""
-        ids, count, decoded = zip(*map(self._known.__getitem__, words))
-        return sum(count), " ".join(ids), " ".join(decoded)
+        return self.all_digest_parts([text])[0]
+
+    def all_digest_parts(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """digest_parts() of each text."""
+        runs = [SPECIAL.split(t) if t else [""] for t in texts]  # the library cuts special tokens' own strings out first
+        found, out = iter(self._run_parts(list(chain.from_iterable(runs)))), []
+        for text, own in zip(texts, runs):
+            parts = [next(found)]
+            for mark in SPECIAL.findall(text) if len(own) > 1 else ():
+                parts += [(1, str(self.library.token_to_id(mark)), mark), next(found)]
+            some = [x for x in parts if x[0]]
+            out.append(parts[0] if len(parts) == 1 else (sum(n for n, _, _ in some), " ".join(i for _, i, _ in some), " ".join(d for _, _, d in some)))
+        return out
+
+    def _run_parts(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """digest_parts() of texts without special tokens, those of one kind together."""
+        out = [(0, "", "")] * len(texts)
+        simple, other = {}, {}
+        for k, text in enumerate(texts):
+            if text:
+                normal = self.normalise(text)
+                (other if _OTHER.search(normal) else simple)[k] = normal
+        if simple:
+            for k, parts in zip(simple, self._parts(*simple_words(list(simple.values())))):
+                out[k] = parts
+        if other:
+            words = [self.words(x) for x in other.values()]
+            first = np.concatenate([[0], np.cumsum(list(map(len, words)))])
+            for k, parts in zip(other, self._parts(pa.array(chain.from_iterable(words), pa.string()), first)):
+                out[k] = parts
+        return out
+
+    def _parts(self, words: pa.StringArray, first: np.ndarray) -> Iterator[tuple[int, str, str]]:
+        """digest_parts() of texts given as their words and where each text's begin."""
+        coded = words.dictionary_encode()
+        number, count, ids = self.all_words(coded.dictionary)
+        place = np.empty(len(number), dtype=np.int32)
+        place[number] = np.arange(len(number))
+        which, begin = place[coded.indices.to_numpy()], np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([[0], np.cumsum(count[which])])[first]
+        texts = (joined(joined(x, ids, begin), which, first).to_pylist() for x in (self.id_texts, self.id_tokens))
+        return ((n, i[:-1], d[:-1]) for n, i, d in zip(np.diff(total).tolist(), *texts))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null and empty have none."""
-        if not text:
-            return []
-        if SPECIAL.search(text):
-            out: list[int] = []
-            at = 0
-            for m in SPECIAL.finditer(text):
-                out += self.encode(text[at : m.start()])
-                out.append(self.library.token_to_id(m[0]))
-                at = m.end()
-            return out + self.encode(text[at:])
         return [int(x) for x in self.digest_parts(text)[1].split(" ") if x]
 
     def decode(self, ids) -> str:
@@ -246,7 +368,7 @@ class TreeBpe:
         self._know(words)
         found = [self._known[w] for w in words]
         ends = np.array(places, dtype=np.int64).reshape(-1, 2)
-        return Piece(normal, ends[:, 0], ends[:, 1], np.array([n for _, n, _ in found], dtype=np.int64), np.array(" ".join(i for i, _, _ in found).split(), dtype=np.int32))
+        return Piece(normal, ends[:, 0], ends[:, 1], np.array(list(map(len, found)), dtype=np.int64), np.array(list(chain.from_iterable(found)), dtype=np.int32))
 
     def join(self, left: Piece, right: Piece) -> Piece:
         """The encoding of two neighbouring pieces in one."""
@@ -347,7 +469,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", add: tuple[str, .
         bpe = encoder(path)
         for whole in batches:
             for batch in slices(whole, "__bpe_text", SLICE_BYTES):
-                rows = [_row(*bpe.digest_parts(t.as_py()), add) for t in batch.column("__bpe_text")]
+                rows = [_row(*parts, add) for parts in bpe.all_digest_parts(batch.column("__bpe_text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array([r[k] for r in rows], type=_ARROW[_ADDED[k]]) for k in add], [*names, *add])
 
     is_long = F.coalesce(F.char_length("__bpe_text") > long_text, F.lit(False))
